@@ -26,8 +26,8 @@ def shared_members(edges: DataFrame, members: DataFrame, source: str, target: st
         F.when(small_first, F.col("_t")).otherwise(F.col("_s")).alias("_other"),
     )
     probes = routed.join(m, "_k").select("_s", "_t", F.col("_other").alias("_k"), "_m")
-    counts = probes.join(m, ["_k", "_m"]).groupBy("_s", "_t").agg(F.count(F.lit(1)).alias(out))
-    joined = edges.join(counts, (edges[source] == counts["_s"]) & (edges[target] == counts["_t"]), "left").drop("_s", "_t")
+    counts = probes.join(m, ["_k", "_m"]).groupBy(F.col("_s").alias("_from"), F.col("_t").alias("_to")).agg(F.count(F.lit(1)).alias(out))
+    joined = edges.join(counts, (edges[source] == counts["_from"]) & (edges[target] == counts["_to"]), "left").drop("_from", "_to")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(0)).cast("bigint"))
 
 

@@ -99,3 +99,24 @@ def with_row_number(
     local = placed.withColumn("_local", F.row_number().over(W.partitionBy(*by, value, "_cell").orderBy(tie)))
     position = (F.col("ahead") + F.col("_before") + F.col("_local")).cast("bigint").alias(out)
     return local.join(offsets, [*by, value, "_cell"]).select(*df.columns, position)
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles with linear interpolation, as ``(probability, quantile)`` rows.
+
+    Read off the distributed ranks: each probability asks for one or two positions, and only those few rows meet
+    the ranked values.
+    """
+    by = list(by)
+    known = df.where(F.col(value).isNotNull())
+    ranks = value_ranks(known, value, by, descending=False)
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
+    asked = sizes.select(*by, "_rows", wanted).withColumn("_at", F.col("probability") * (F.col("_rows") - 1))
+    near = asked.withColumns({"_low": F.floor("_at"), "_high": F.ceil("_at"), "_part": F.col("_at") - F.floor("_at")})
+    holds = lambda p: (F.col(p) >= F.col("ahead")) & (F.col(p) < F.col("ahead") + F.col("n"))
+    joined = near.join(ranks, by) if by else ranks.crossJoin(F.broadcast(near))
+    picked = joined.where(holds("_low") | holds("_high"))
+    low = F.max(F.when(holds("_low"), F.col(value)))
+    high = F.max(F.when(holds("_high"), F.col(value)))
+    return picked.groupBy(*by, "probability", "_part").agg((low + (high - low) * F.col("_part")).alias("quantile")).drop("_part")
