@@ -205,6 +205,7 @@ def sql(body: str, **ctes: str) -> str:
 
 def pagerank_ctes(variants: dict[str, str | None], rounds: int = ROUNDS, nodes: str = "papers", source: str = "xedges") -> dict[str, str]:
     """Common table expressions ending in ``pr(paper_id, <variants>)`` after a fixed number of rounds."""
+    variants = {f'"{v}"': w for v, w in variants.items()}
     sums = ", ".join(f"sum({w or '1.0'})::DOUBLE AS {v}" for v, w in variants.items())
     shares = ", ".join(
         v if w is None else f"CASE WHEN sum({v}) OVER (PARTITION BY s) > 0 THEN {v} / sum({v}) OVER (PARTITION BY s) ELSE 0.0 END AS {v}"
