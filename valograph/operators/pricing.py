@@ -12,6 +12,7 @@ from valograph.functions.scalars import value_aware_price
 from valograph.operators.rankmetrics import top_k
 from valograph.operators.ranking import with_rank
 from valograph.operators.relational import min_max
+from valograph.session import materialise
 
 
 def price_scenarios(
@@ -31,6 +32,7 @@ def price_scenarios(
 
 def scenario_stability(priced: DataFrame, id_col: str, base: str = "Base Case", k: int = 5) -> DataFrame:
     """Per scenario against the base scenario: top-k overlap, mean and largest change of price and of rank."""
+    priced = materialise(priced)
     reference = priced.where(F.col("scenario") == base).select(
         id_col, F.col("price").alias("_price"), F.col("price_rank").alias("_rank")
     )

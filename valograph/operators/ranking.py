@@ -8,7 +8,7 @@ decide where the ranges are cut.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -54,6 +54,26 @@ def _rank_value(method: str) -> Column:
     raise ValueError(f"unknown rank method: {method}")
 
 
+def with_ranks(
+    df: DataFrame,
+    ranks: Mapping[str, str],
+    method: str = "min",
+    by: Sequence[str] = (),
+    descending: bool = True,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Add one rank column per entry of ``ranks`` (new column to value column).
+
+    ``method`` is the competition rank (``min``) or the ``average`` rank. Every rank is taken from ``df`` itself, so
+    the work grows with the number of ranks and not with their product.
+    """
+    out = df
+    for name, value in ranks.items():
+        table = value_ranks(df, value, by, descending, ranges).select(*by, value, _rank_value(method).alias(name))
+        out = out.join(table, [*by, value])
+    return out
+
+
 def with_rank(
     df: DataFrame,
     value: str,
@@ -63,9 +83,8 @@ def with_rank(
     descending: bool = True,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Add the competition rank (``min``) or the average rank of ``value``."""
-    ranks = value_ranks(df, value, by, descending, ranges).select(*by, value, _rank_value(method).alias(out))
-    return df.join(ranks, [*by, value])
+    """``with_ranks`` for a single column."""
+    return with_ranks(df, {out: value}, method, by, descending, ranges)
 
 
 def with_row_number(

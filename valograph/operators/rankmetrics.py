@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from valograph.operators.ranking import range_count, value_ranks, with_rank
+from valograph.operators.ranking import range_count, value_ranks, with_ranks
 from valograph.operators.relational import top_per_key
 
 
@@ -27,8 +27,7 @@ def melt_methods(df: DataFrame, id_col: str, methods: Mapping[str, str], referen
 
 def average_ranks(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
     """Average descending ranks of both columns as ``left_rank`` and ``right_rank``."""
-    ranked = with_rank(df, left, "left_rank", "average", by)
-    return with_rank(ranked, right, "right_rank", "average", by)
+    return with_ranks(df, {"left_rank": left, "right_rank": right}, "average", by)
 
 
 def spearman(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:

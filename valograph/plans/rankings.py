@@ -11,8 +11,9 @@ from valograph import constants as C
 from valograph.operators.graph import degrees
 from valograph.operators.pagerank import weighted_pagerank
 from valograph.operators.rankmetrics import compare_rankings, validate_rankings
-from valograph.operators.ranking import exact_quantiles, with_rank
+from valograph.operators.ranking import exact_quantiles, with_rank, with_ranks
 from valograph.operators.relational import semi_both_ends, top_per_key, with_scalars
+from valograph.session import materialise
 
 MODELS = {
     "unweighted": None,
@@ -40,16 +41,15 @@ def score_models(
 def citation_ranking(papers: DataFrame, edges: DataFrame) -> DataFrame:
     """Papers with degrees and their competition ranks by citations and by in-degree."""
     counted = degrees(papers, edges, "paper_id", "source_id", "target_id")
-    ranked = with_rank(counted, "global_citations", "citation_rank")
-    return with_rank(ranked, "in_degree", "in_degree_rank")
+    return with_ranks(counted, {"citation_rank": "global_citations", "in_degree_rank": "in_degree"})
 
 
 def ranking_table(papers: DataFrame, scores: DataFrame, models: Sequence[str], n: int) -> DataFrame:
     """The ``n`` best papers of the last model, with score and rank under every model."""
-    table = papers.select("paper_id", "title", "global_citations").join(scores, "paper_id")
-    for model in models:
-        table = with_rank(table, model, f"{model}_rank")
-    return table.orderBy(F.asc(f"{models[-1]}_rank"), "paper_id").limit(n)
+    ranked = with_ranks(scores, {f"{m}_rank": m for m in models})
+    best = ranked.orderBy(F.asc(f"{models[-1]}_rank"), "paper_id").limit(n)
+    titled = papers.select("paper_id", "title", "global_citations").join(F.broadcast(best), "paper_id")
+    return titled.orderBy(F.asc(f"{models[-1]}_rank"), "paper_id")
 
 
 def ablation(scores: DataFrame, models: Sequence[str], reference: str = "full") -> DataFrame:
@@ -86,7 +86,7 @@ def validate_future(
     counts = history.groupBy(F.col("target_id").alias("paper_id")).agg(F.count(F.lit(1)).cast("double").alias("citation_count"))
     core = early.where("is_core").select("paper_id").join(scores, "paper_id").join(counts, "paper_id", "left")
     joined = core.join(truth.select("paper_id", "future_citations"), "paper_id", "left" if zero_fill else "inner")
-    table = joined.fillna(0, ["citation_count", "future_citations"])
+    table = materialise(joined.fillna(0, ["citation_count", "future_citations"]))
     methods = {"citation_count": "citation_count", **{m: m for m in models}}
     return validate_rankings(table, "paper_id", methods, "future_citations", k)
 
@@ -96,7 +96,7 @@ def penalty_effect(scores: DataFrame, edges: DataFrame, before: str, after: str)
     profile = edges.groupBy(F.col("source_id").alias("paper_id")).agg(
         F.count_if(F.col("shared") > 0).alias("self_citation_edges"), F.avg("shared").alias("avg_shared_authors")
     )
-    ranked = with_rank(with_rank(scores.select("paper_id", before, after), before, "rank_before"), after, "rank_after")
+    ranked = with_ranks(scores.select("paper_id", before, after), {"rank_before": before, "rank_after": after})
     joined = ranked.join(profile, "paper_id", "left").fillna(0, ["self_citation_edges", "avg_shared_authors"])
     return joined.withColumns(
         {"rank_change": F.col("rank_after") - F.col("rank_before"), "score_change": F.col(after) - F.col(before)}
@@ -107,8 +107,10 @@ def case_study(cases: DataFrame, n: int = 3) -> DataFrame:
     """Five selections of ``n`` papers with a worded explanation.
 
     ``cases(paper_id, full, full_rank, similarity, self_citation_edges, rank_change, mean_q, mean_tau)``. Thresholds
-    and medians are one row of scalars.
+    and medians are one row of scalars. The cases are written out first, as every threshold reads them.
     """
+    cases = materialise(cases)
+
     def pick(column: str, probability: float, name: str) -> DataFrame:
         return exact_quantiles(cases, column, [probability]).select(F.col("quantile").alias(name))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from valograph.workload import rankings, relations, scalars  # noqa: F401  (importing registers the queries)
+from valograph.workload import rankings, relations, scalars, texts  # noqa: F401  (importing registers the queries)
 from valograph.workload.registry import ORACLE, QUERIES
 
 

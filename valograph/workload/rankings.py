@@ -220,11 +220,11 @@ def precision_at_k(spark, d):
 # --- composite reports ---------------------------------------------------------------------
 
 
-@query("full_model_ranking", sql("""SELECT paper_id, title, round("full", 6) AS score, rank() OVER (ORDER BY "full" DESC) AS full_rank FROM sc JOIN papers USING (paper_id)""", **score_ctes(("full",))))
+@query("full_model_ranking", sql("""SELECT paper_id, title, "full" AS score, rank() OVER (ORDER BY "full" DESC) AS full_rank FROM sc JOIN papers USING (paper_id)""", **score_ctes(("full",))))
 def full_model_ranking(spark, d):
     s = scores(spark, d, ("full",))
     ranked = with_rank(s, "full", "full_rank").join(M.papers(spark, d).select("paper_id", "title"), "paper_id")
-    return ranked.select("paper_id", "title", r6("full").alias("score"), "full_rank")
+    return ranked.select("paper_id", "title", F.col("full").alias("score"), "full_rank")
 
 
 @query("ranking_top30", sql("""SELECT paper_id, title, rank_unweighted AS unweighted_rank, rank_semantic AS semantic_rank, rank_full AS full_rank FROM (
@@ -265,15 +265,15 @@ def ablation(spark, d):
     return _rounded(P.ablation(core_scores(spark, d), _ABLATION))
 
 
-@query("ablation_rankings", sql("""SELECT model, paper_id, round(score, 6) AS score, rank() OVER (PARTITION BY model ORDER BY score DESC) AS rank FROM (
+@query("ablation_rankings", sql("""SELECT model, paper_id, score, rank() OVER (PARTITION BY model ORDER BY score DESC) AS rank FROM (
   SELECT 'semantic' AS model, paper_id, semantic AS score FROM sc UNION ALL SELECT 'full', paper_id, "full" FROM sc)""", **score_ctes(_TWO)))
 def ablation_rankings(spark, d):
-    return P.long_rankings(scores(spark, d, _TWO), list(_TWO)).withColumn("score", r6("score"))
+    return P.long_rankings(scores(spark, d, _TWO), list(_TWO))
 
 
 def _robust(name, variants, sql_variants, extended):
     """Register a robustness query: full model against re-weighted variants on core papers."""
-    names = list(variants)
+    names = list(sql_variants)
     body, ctes = _compare_sql({m: m for m in names}, '"full"', "vcore")
     rounded = ", ".join(f'round("{n}", {DIGITS}) AS "{n}"' for n in ["full", *names])
     source = "xedges" if extended else "wedges"
@@ -285,32 +285,50 @@ def _robust(name, variants, sql_variants, extended):
     def run(spark, d):
         e = M.weighted_edges(spark, d, extended=extended)
         neutral = F.when(F.col("has_score"), F.col("q_ij") / S.sentiment_weight("sentiment")).otherwise(F.col("q_ij"))
-        e = e.withColumn("q_neutral", neutral).withColumns({f"w_{n}": w for n, w in variants.items()})
+        e = e.withColumn("q_neutral", neutral).withColumns({f"w_{n}": w for n, w in variants().items()})
         models = {"full": "w_full", **{n: f"w_{n}" for n in names}}
         s = P.score_models(M.papers(spark, d), e, models, ROUNDS, None, DIGITS)
         core_ids = M.papers(spark, d).where("is_core").select("paper_id")
         return _rounded(P.ablation(s.join(core_ids, "paper_id", "left_semi"), names))
 
 
-_conf = lambda eps: F.when(F.col("has_score"), F.col("q_ij") * S.confidence_factor("confidence", eps)).otherwise(F.lit(C.DEFAULT_QUALITY)) * F.col("tau") * F.col("rho")
-_conf_sql = lambda eps: f"CASE WHEN has_score THEN q_ij * ({eps}::DOUBLE + (1.0 - {eps}::DOUBLE) * coalesce(confidence, 0.0)) ELSE 0.3 END * tau * rho"
-_robust("confidence_robustness", {"eps3": _conf(0.3), "eps5": _conf(0.5), "eps7": _conf(0.7)}, {"eps3": _conf_sql(0.3), "eps5": _conf_sql(0.5), "eps7": _conf_sql(0.7)}, False)
-_robust("extended_robustness", {"extended": F.col("w_ext")}, {"extended": "q_ij * tau * rho_ext"}, True)
+def _confident(epsilon):
+    tempered = F.col("q_ij") * S.confidence_factor("confidence", epsilon)
+    return F.when(F.col("has_score"), tempered).otherwise(F.lit(C.DEFAULT_QUALITY)) * F.col("tau") * F.col("rho")
+
+
+def _confident_sql(epsilon):
+    e = f"{epsilon}::DOUBLE"
+    return f"CASE WHEN has_score THEN q_ij * ({e} + (1.0 - {e}) * coalesce(confidence, 0.0)) ELSE 0.3 END * tau * rho"
+
+
+_EPSILONS = {"eps3": 0.3, "eps5": 0.5, "eps7": 0.7}
+_robust(
+    "confidence_robustness",
+    lambda: {n: _confident(e) for n, e in _EPSILONS.items()},
+    {n: _confident_sql(e) for n, e in _EPSILONS.items()},
+    False,
+)
+_robust("extended_robustness", lambda: {"extended": F.col("w_ext")}, {"extended": "q_ij * tau * rho_ext"}, True)
 _robust(
     "sentiment_robustness",
-    {"no_sent": F.col("q_neutral"), "no_sent_time": F.col("q_neutral") * F.col("tau"), "no_sent_full": F.col("q_neutral") * F.col("tau") * F.col("rho")},
+    lambda: {
+        "no_sent": F.col("q_neutral"),
+        "no_sent_time": F.col("q_neutral") * F.col("tau"),
+        "no_sent_full": F.col("q_neutral") * F.col("tau") * F.col("rho"),
+    },
     {"no_sent": "q_neutral", "no_sent_time": "q_neutral * tau", "no_sent_full": "q_neutral * tau * rho"},
     False,
 )
 
 
-@query("filtered_semantic_ranking", sql("SELECT paper_id, round(score, 6) AS score, rank() OVER (ORDER BY round(score, 7) DESC) AS score_rank FROM pr",
+@query("filtered_semantic_ranking", sql("SELECT paper_id, round(score, 7) AS score, rank() OVER (ORDER BY round(score, 7) DESC) AS score_rank FROM pr",
   flt="SELECT *, CASE WHEN has_score AND confidence >= 0.5 THEN q_ij ELSE 0.3 END AS qf FROM wedges", **pagerank_ctes({"score": "qf * tau * rho"}, source="flt")))
 def filtered_semantic_ranking(spark, d):
     keep = F.col("has_score") & (F.col("confidence") >= 0.5)
     e = M.weighted_edges(spark, d).withColumn("w", F.when(keep, F.col("q_ij")).otherwise(C.DEFAULT_QUALITY) * F.col("tau") * F.col("rho"))
     s = weighted_pagerank(M.papers(spark, d), e, {"score": "w"}, max_rounds=ROUNDS, tolerance=None).withColumn("score", F.round("score", DIGITS))
-    return with_rank(s, "score", "score_rank").select("paper_id", r6("score").alias("score"), "score_rank")
+    return with_rank(s, "score", "score_rank").select("paper_id", "score", "score_rank")
 
 
 _FUTURE = ["unweighted", "time_aware", "semantic", "semantic_temporal", "full"]
@@ -446,10 +464,10 @@ def _priced(spark, d):
     return price_scenarios(sim.join(scores(spark, d, ("semantic", "full")), "paper_id"), "full", "similarity", digits=DIGITS)
 
 
-@query("pricing_base", sql("SELECT paper_id, round(v, 6) AS value_norm, round(similarity, 6) AS similarity, round(price, 6) AS price, price_rank FROM priced WHERE scenario = 'Base Case'", **_PRICED))
+@query("pricing_base", sql("SELECT paper_id, round(v, 6) AS value_norm, round(similarity, 6) AS similarity, price, price_rank FROM priced WHERE scenario = 'Base Case'", **_PRICED))
 def pricing_base(spark, d):
     p = _priced(spark, d).where("scenario = 'Base Case'")
-    return p.select("paper_id", r6("value_norm").alias("value_norm"), r6("similarity").alias("similarity"), r6("price").alias("price"), "price_rank")
+    return p.select("paper_id", r6("value_norm").alias("value_norm"), r6("similarity").alias("similarity"), "price", "price_rank")
 
 
 @query("pricing_sensitivity", sql("""SELECT p.scenario, p.alpha, p.beta, round(avg(abs(p.price - b.price)), 6) AS mean_price_change, round(max(abs(p.price - b.price)), 6) AS max_price_change,
@@ -466,7 +484,7 @@ def scenario_top5(spark, d):
     return scenario_top(_priced(spark, d), "paper_id")
 
 
-@query("price_penalty_change", sql("""SELECT paper_id, round(a + 10.0 * similarity, 6) AS wtp_old, round(b + 10.0 * similarity, 6) AS wtp_new, round((b - a) / 2.0, 6) AS price_change,
+@query("price_penalty_change", sql("""SELECT paper_id, round(a + 10.0 * similarity, 9) AS wtp_old, round(b + 10.0 * similarity, 9) AS wtp_new, round((b - a) / 2.0, 9) AS price_change,
     coalesce(n, 0) AS self_citation_edges FROM (SELECT paper_id, similarity, semantic AS a, semantic_relation AS b FROM core JOIN sim ON sim.id = paper_id)
     LEFT JOIN (SELECT source_id, count(*) AS n FROM wedges WHERE shared > 0 GROUP BY ALL) ON source_id = paper_id""",
   **score_ctes(("semantic", "semantic_relation")),
@@ -479,7 +497,7 @@ def price_penalty_change(spark, d):
     old, old_price = S.linear_price("semantic", "similarity")
     new, new_price = S.linear_price("semantic_relation", "similarity")
     return R.lookup(c, self_cites, ["paper_id"], {"self_citation_edges": 0}).select(
-        "paper_id", r6(old).alias("wtp_old"), r6(new).alias("wtp_new"), r6(new_price - old_price).alias("price_change"), "self_citation_edges"
+        "paper_id", F.round(old, 9).alias("wtp_old"), F.round(new, 9).alias("wtp_new"), F.round(new_price - old_price, 9).alias("price_change"), "self_citation_edges"
     )
 
 
@@ -487,7 +505,7 @@ _CASE = {
     **score_ctes(("semantic_temporal", "full")),
     **similarity_ctes(_TITLES, "text", word_terms_sql("tf_rows", STOP_WORDS), "['red', 'widget', 'red widget']"),
     "cases": """SELECT c.paper_id, c."full" AS f, round(similarity, 6) AS similarity, ra AS full_rank, ra - rb AS rank_change, coalesce(o.n, 0) AS self_citation_edges,
-        round(coalesce(i.q, 0.3), 6) AS mean_q, round(coalesce(i.t, 1.0), 6) AS mean_tau
+        round(coalesce(i.q, 0.3), 8) AS mean_q, round(coalesce(i.t, 1.0), 8) AS mean_tau
       FROM core c JOIN sim ON sim.id = c.paper_id
       JOIN (SELECT paper_id, rank() OVER (ORDER BY semantic_temporal DESC) AS rb, rank() OVER (ORDER BY "full" DESC) AS ra FROM sc) USING (paper_id)
       LEFT JOIN (SELECT source_id, count(*) FILTER (WHERE shared > 0) AS n FROM wedges GROUP BY ALL) o ON o.source_id = c.paper_id
@@ -517,6 +535,6 @@ def case_selection(spark, d):
     sim = word_similarity(titles, "paper_id", "title", QUERY_TEXT, STOP_WORDS).select("paper_id", r6("similarity").alias("similarity"))
     cited = e.groupBy(F.col("target_id").alias("paper_id")).agg(F.avg("q_ij").alias("mean_q"), F.avg("tau").alias("mean_tau"))
     cases = R.lookup(effect.join(sim, "paper_id"), cited, ["paper_id"], {"mean_q": C.DEFAULT_QUALITY, "mean_tau": 1.0}).select(
-        "paper_id", "full", F.col("rank_after").alias("full_rank"), "similarity", "rank_change", "self_citation_edges", r6("mean_q").alias("mean_q"), r6("mean_tau").alias("mean_tau")
+        "paper_id", "full", F.col("rank_after").alias("full_rank"), "similarity", "rank_change", "self_citation_edges", F.round("mean_q", 8).alias("mean_q"), F.round("mean_tau", 8).alias("mean_tau")
     )
     return P.case_study(cases).select("case_type", "paper_id", "full_rank", "similarity", "self_citation_edges", "mean_q", "mean_tau", "reason")

@@ -197,7 +197,7 @@ def agg_mode(spark, d):
              round(coalesce(c.bad, 0) / greatest(1, t.total), 6) AS ratio FROM t LEFT JOIN c USING (source_id) LEFT JOIN m USING (source_id)""",
         r=f"SELECT source_id, {_REASON_SQL} AS reason FROM scored",
         t="SELECT source_id, count(*) AS total FROM edges GROUP BY ALL",
-        m="SELECT source_id, reason, count(*) AS n FROM r GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n DESC, reason) = 1",
+        m="SELECT * FROM (SELECT source_id, reason, count(*) AS n FROM r GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY n DESC, reason) = 1",
         c="SELECT source_id, count(*) AS bad FROM r WHERE reason <> 'unknown' GROUP BY ALL",
     ),
 )
