@@ -7,8 +7,9 @@ from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from valograph import constants as C
 
@@ -26,7 +27,7 @@ def normalise(value: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(_col(value), F.lit(""))), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
 
@@ -64,7 +65,7 @@ def _ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity of two strings; 0 when either is empty."""
     for left, right in batches:
@@ -119,15 +120,21 @@ def _numbered(refs: Column, pattern: str, marker: str) -> Column:
     )
 
 
-def reference_entries(refs: Column | str, minimum: int = 3) -> Column:
-    """Entries ``(marker, number, entry)`` of a numbered list: ``[n]`` style, else ``n.`` style.
+def with_reference_entries(df: DataFrame, refs: str, out: str, minimum: int = 3) -> DataFrame:
+    """Add the entries ``(marker, number, entry)`` of a numbered list: ``[n]`` style, else ``n.`` style.
 
-    A style counts only with at least ``minimum`` hits; empty entries are left out.
+    A style counts only with at least ``minimum`` hits; empty entries are left out. The two parses are columns of
+    their own, so each runs once per row.
     """
-    text = _col(refs)
-    bracketed, dotted = _numbered(text, C.BRACKET_ENTRY, "[%d]"), _numbered(text, C.DOTTED_ENTRY, "%d")
-    chosen = F.when(F.size(bracketed) >= minimum, bracketed).when(F.size(dotted) >= minimum, dotted).otherwise(F.slice(dotted, 1, 0))
-    return F.filter(chosen, lambda e: e["entry"] != "")
+    staged = df.withColumns(
+        {"_bracketed": _numbered(F.col(refs), C.BRACKET_ENTRY, "[%d]"), "_dotted": _numbered(F.col(refs), C.DOTTED_ENTRY, "%d")}
+    )
+    chosen = (
+        F.when(F.size("_bracketed") >= minimum, F.col("_bracketed"))
+        .when(F.size("_dotted") >= minimum, F.col("_dotted"))
+        .otherwise(F.slice("_dotted", 1, 0))
+    )
+    return staged.withColumn(out, F.filter(chosen, lambda e: e["entry"] != "")).drop("_bracketed", "_dotted")
 
 
 def author_year_entries(refs: Column | str, minimum_length: int = 40) -> Column:
@@ -143,12 +150,6 @@ def author_year_entries(refs: Column | str, minimum_length: int = 40) -> Column:
     )
 
 
-def all_entries(refs: Column | str) -> Column:
-    """Numbered entries, or author-year entries where there are none."""
-    numbered = reference_entries(refs)
-    return F.when(F.size(numbered) > 0, numbered).otherwise(author_year_entries(refs))
-
-
 def sentences(text: Column | str) -> Column:
     """Non-blank sentences, untrimmed of nothing but outer space."""
     parts = F.split(_col(text), f"(?U){C.SENTENCE_BREAK}")
@@ -170,7 +171,7 @@ def expand_range(token: Column, widest: int = 20) -> Column:
 
 def bracket_numbers(inside: Column) -> Column:
     """All numbers cited by the inside of one bracket."""
-    return F.flatten(F.transform(F.split(inside, r"[,\s;]+"), expand_range))
+    return F.flatten(F.transform(F.split(inside, r"[,\s;]+"), lambda t: expand_range(t)))
 
 
 def bracket_kind(inside: Column) -> Column:
@@ -200,9 +201,9 @@ def _brackets(parts: Column, position: Column) -> Column:
     return F.when(F.coalesce(opens, F.lit(False)), F.concat(closed, F.array(completed))).otherwise(closed)
 
 
-def mention_index(body: Column | str) -> Column:
-    """Every bracket of a text as ``(window, kind, numbers)``, in text order."""
-    parts = sentences(body)
+def mention_index(sentence_column: str) -> Column:
+    """Every bracket of a text as ``(window, kind, numbers)``, in text order, from a column of its sentences."""
+    parts = F.col(sentence_column)
     per_sentence = F.transform(
         parts,
         lambda s, i: F.when(
@@ -216,14 +217,15 @@ def mention_index(body: Column | str) -> Column:
     return F.flatten(per_sentence)
 
 
-def mentions_of(index: Column | str, number: Column | str) -> Column:
-    """Mentions ``(window, kind)`` of one reference number; a window met again is left out."""
-    n = _col(number)
-    hits = F.filter(_col(index), lambda m: F.array_contains(m["numbers"], n))
-    found = F.transform(hits, lambda m: F.struct(m["window"].alias("window"), m["kind"].alias("kind")))
-    windows = F.transform(found, lambda m: m["window"])
-    fresh = F.filter(found, lambda m, i: F.array_position(windows, m["window"]) == i + 1)
-    return F.coalesce(fresh, F.array().cast("array<struct<window:string,kind:string>>"))
+def with_mentions(df: DataFrame, index: str, number: Column | str, out: str) -> DataFrame:
+    """Add the mentions ``(window, kind)`` of one reference number; a window met again is left out."""
+    wanted = df.withColumn("_number", _col(number))
+    hits = F.filter(index, lambda m: F.array_contains(m["numbers"], F.col("_number")))
+    found = wanted.withColumn("_hits", F.transform(hits, lambda m: F.struct(m["window"].alias("window"), m["kind"].alias("kind"))))
+    listed = found.withColumn("_windows", F.transform("_hits", lambda m: m["window"]))
+    fresh = F.filter("_hits", lambda m, i: F.array_position(F.col("_windows"), m["window"]) == i + 1)
+    none = F.array().cast("array<struct<window:string,kind:string>>")
+    return listed.withColumn(out, F.coalesce(fresh, none)).drop("_number", "_hits", "_windows")
 
 
 def surname(author: Column | str) -> Column:
@@ -231,10 +233,10 @@ def surname(author: Column | str) -> Column:
     return F.element_at(F.split(normalise_loose(author), " "), -1)
 
 
-def author_year_mentions(body: Column | str, author: Column | str, year: Column | str) -> Column:
+def author_year_mentions(sentence_column: str, surname_column: str, year: Column | str) -> Column:
     """Sentences (with their neighbours) that name the author together with the year."""
-    name, target = surname(author), _col(year).cast("string")
-    parts = sentences(body)
+    name, target = F.col(surname_column), _col(year).cast("string")
+    parts = F.col(sentence_column)
     word = F.concat(F.lit(r"\b"), name, F.lit(r"\b"))
     patterns = [
         F.concat(F.lit("(?i)"), word, F.lit(r"[^.()\\n]{0,40}(?:19|20)\d{2}")),

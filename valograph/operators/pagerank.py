@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from valograph import constants as C
+from valograph.operators.relational import semi_both_ends
 from valograph.session import bucketed, materialise
 
 
@@ -118,13 +119,14 @@ def standard_pagerank(
 ) -> DataFrame:
     """Textbook PageRank: uniform start and teleport, stochastic rows, dangling mass spread over all nodes.
 
-    Parallel edges collapse to one (the largest weight is kept). Stops when the summed change is below
+    Edges with an end outside the nodes are left out; parallel edges collapse to one (the largest weight is kept). Stops when the summed change is below
     ``tolerance`` times the node count. The dangling mass of a round is one number, read back from the written
     scores together with the change.
     """
     ids = materialise(nodes.select(F.col(node_id).alias("_id")).distinct())
     count = ids.count()
-    single = edges.groupBy(source, target).agg((F.max(weight) if weight else F.lit(1.0)).alias("_w"))
+    known = semi_both_ends(edges, ids, "_id", source, target)
+    single = known.groupBy(source, target).agg((F.max(weight) if weight else F.lit(1.0)).alias("_w"))
     adjacency, _ = _adjacency(single, ids, source, target, {"_w": "_w"})
     parts = adjacency.where("_w > 0").groupBy(F.col("_s").alias("_id")).agg((F.max("_salt") + 1).alias("_parts"))
     start = ids.join(parts, "_id", "left").fillna(0, ["_parts"])

@@ -30,9 +30,15 @@ def average_ranks(df: DataFrame, left: str, right: str, by: Sequence[str] = ())
     return with_ranks(df, {"left_rank": left, "right_rank": right}, "average", by)
 
 
+def _correlation() -> Column:
+    """Pearson correlation of the two ranks; null where one of them is constant."""
+    spread = F.stddev_pop("left_rank") * F.stddev_pop("right_rank")
+    return F.try_divide(F.covar_pop("left_rank", "right_rank"), spread)
+
+
 def spearman(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of average ranks; null where a side is constant."""
-    return average_ranks(df, left, right, by).groupBy(*by).agg(F.corr("left_rank", "right_rank").alias("spearman"))
+    return average_ranks(df, left, right, by).groupBy(*by).agg(_correlation().alias("spearman"))
 
 
 def rank_change(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
@@ -42,7 +48,7 @@ def rank_change(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) ->
         average_ranks(df, left, right, by)
         .groupBy(*by)
         .agg(
-            F.corr("left_rank", "right_rank").alias("spearman"),
+            _correlation().alias("spearman"),
             F.avg(moved).alias("mean_rank_change"),
             F.max(moved).alias("max_rank_change"),
         )

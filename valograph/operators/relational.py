@@ -108,9 +108,9 @@ def mode_per_key(df: DataFrame, keys: Sequence[str], column: str, out: str) -> D
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
-    """Counts per equal-width bin, the last bin closed on the right; null has its own row."""
+    """Counts per equal-width bin, the last bin closed on the right; null has its own row and -1 holds what lies outside."""
     width = (high - low) / bins
     value = F.col(column)
     bin_no = F.least(F.lit(bins - 1), F.floor((value - low) / width)).cast("int")
-    inside = F.when(value.isNull() | ((value >= low) & (value <= high)), bin_no).otherwise(F.lit(-1))
+    inside = F.when((value >= low) & (value <= high), bin_no).when(value.isNotNull(), F.lit(-1))
     return df.groupBy(inside.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

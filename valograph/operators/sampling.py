@@ -51,24 +51,24 @@ def diverse_sample(
     )
     size = strata.count()
     per_source = best_per_key(df, [stratum, source], [F.asc(key)])
-    shortlist = top_per_key(per_source, [stratum], [F.asc(source)], max(size, 1)).select(stratum, F.col(source).alias("src"), F.col(key).alias("id"))
+    shortlist = top_per_key(per_source, [stratum], [F.asc(source)], max(size, 1)).select(stratum, F.col(source).alias("_src"), F.col(key).alias("_id"))
     first_rows = strata.select(stratum, "_first.*")
     order = top_per_key(first_rows, [], list(stratum_order), max(size, 1)).select(stratum, F.col("position").alias("turn"))
-    bounded = shortlist.join(F.broadcast(order), stratum).select("turn", "src", "id")
+    bounded = shortlist.join(F.broadcast(order), stratum).select("turn", "_src", "_id")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         used, chosen = set(), []
-        for turn, group in rows.sort_values(["turn", "src", "id"]).groupby("turn", sort=True):
-            fresh = group[~group["src"].isin(used)]
+        for turn, group in rows.sort_values(["turn", "_src", "_id"]).groupby("turn", sort=True):
+            fresh = group[~group["_src"].isin(used)]
             row = (group if fresh.empty else fresh).iloc[0]
-            used.add(row["src"])
-            chosen.append((row["id"], turn))
-        return pd.DataFrame(chosen, columns=["id", "turn"])
+            used.add(row["_src"])
+            chosen.append((row["_id"], turn))
+        return pd.DataFrame(chosen, columns=["_id", "turn"])
 
     id_type = df.schema[key].dataType.simpleString()
-    chosen = bounded.groupBy(F.lit(1)).applyInPandas(choose, f"id {id_type}, turn long")
-    picked = df.join(F.broadcast(chosen), df[key] == chosen["id"]).withColumn("_tier", F.lit(0)).drop("id")
-    rest = df.join(F.broadcast(chosen.select(F.col("id").alias(key))), key, "left_anti")
+    chosen = bounded.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, f"_id {id_type}, turn long")
+    picked = df.join(F.broadcast(chosen), df[key] == chosen["_id"]).withColumn("_tier", F.lit(0)).drop("_id")
+    rest = df.join(F.broadcast(chosen.select(F.col("_id").alias(key))), key, "left_anti")
     fill = top_per_key(rest, [], [*fill_order, F.asc(key)], n).withColumn("turn", F.col("position").cast("bigint")).drop("position")
     both = picked.unionByName(fill.withColumn("_tier", F.lit(1)))
     return top_per_key(both, [], [F.asc("_tier"), F.asc("turn")], n).drop("_tier", "turn")

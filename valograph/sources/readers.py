@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import types as T
 
 from valograph.functions.scalars import clean_id
 from valograph.operators.relational import best_per_key
+from valograph.session import ensure_checkpoint_dir
 
-ENCODINGS = ("UTF-8", "GB18030", "GBK")
+FALLBACK_ENCODING = "gb18030"  # also reads gbk
 
 AUTHORSHIP_PAYLOAD = (
     "id string, authorships array<struct<author:struct<id:string,display_name:string>,author_position:string,"
@@ -27,20 +29,22 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes.
 
-    Without an encoding the first of ``ENCODINGS`` under which the text has no replacement character is used. The
-    whole input is checked, by a Spark scan that stops at the first bad line.
+    Text that is not UTF-8 is brought to it first: by the given encoding, or by GB18030 where a Spark scan of the
+    whole input meets a byte sequence UTF-8 does not have.
     """
-    chosen = encoding or _detect_encoding(spark, path)
-    reader = spark.read.options(header=True, multiLine=True, escape='"', encoding=chosen)
-    return reader.csv(path, schema=schema) if schema else reader.csv(path, inferSchema=True)
-
-
-def _detect_encoding(spark: SparkSession, path: str) -> str:
-    for encoding in ENCODINGS[:-1]:
-        lines = spark.read.options(encoding=encoding, sep="\x01", quote="").csv(path, schema="line string")
-        if lines.where(F.contains("line", F.lit("�"))).isEmpty():
-            return encoding
-    return ENCODINGS[-1]
+    if encoding is None:
+        lines = spark.read.options(sep="\x01", quote="").csv(path, schema="line string")
+        encoding = "utf-8" if lines.where(F.contains("line", F.lit("�"))).isEmpty() else FALLBACK_ENCODING
+    source = path if encoding.lower() in ("utf-8", "utf8") else _as_utf8(spark, path, encoding)
+    reader = spark.read.options(header=True, multiLine=True, escape='"')
+    return reader.csv(source, schema=schema) if schema else reader.csv(source, inferSchema=True)
+
+
+def _as_utf8(spark: SparkSession, path: str, encoding: str) -> str:
+    """Files decoded in the tasks and written as UTF-8 to the shared folder."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/valograph_text_{uuid.uuid4().hex}"
+    read_documents(spark, path, lambda content: content.decode(encoding)).select("text").write.text(folder)
+    return folder
 
 
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -132,7 +132,8 @@ def txt_split_refs(spark, d):
     CASE WHEN lang IN ('de', 'es') OR n < 3 THEN md5('') ELSE md5(es) END AS digest FROM arts JOIN (
       SELECT doc_id, string_agg(trim(entry_text), '|' ORDER BY i) AS es FROM marked GROUP BY doc_id) USING (doc_id)"""))
 def txt_ref_entries(spark, d):
-    a = articles(spark, d).select("doc_id", T.reference_entries(T.reference_text("full_text")).alias("e"))
+    a = articles(spark, d).select("doc_id", T.reference_text("full_text").alias("refs"))
+    a = T.with_reference_entries(a, "refs", "e")
     return a.select("doc_id", F.size("e").alias("entries"), F.md5(F.array_join(F.transform("e", lambda x: x["entry"]), "|")).alias("digest"))
 
 
@@ -160,8 +161,8 @@ def txt_sentences(spark, d):
 
 _MENTION_CTES = {
     **_sent("body", "arts"),
-    "at": "SELECT doc_id, ss, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS k FROM sents",
-    "br": r"""SELECT doc_id, k, trim(regexp_replace(array_to_string(ss[greatest(1, k - 1):k + 1], ' '), '\s+', ' ', 'g')) AS win, unnest(regexp_extract_all(s, '\[([^\]]+)\]', 1)) AS inside FROM at""",
+    "spots": "SELECT doc_id, ss, unnest(ss) AS s, unnest(range(1, len(ss) + 1)) AS k FROM sents",
+    "br": r"""SELECT doc_id, k, trim(regexp_replace(array_to_string(ss[greatest(1, k - 1):k + 1], ' '), '\s+', ' ', 'g')) AS win, unnest(regexp_extract_all(s, '\[([^\]]+)\]', 1)) AS inside FROM spots""",
     "tok": r"SELECT doc_id, k, win, CASE WHEN contains(inside, ',') THEN 'grouped' WHEN contains(inside, '-') THEN 'range' ELSE 'exact' END AS kind, unnest(regexp_split_to_array(inside, '[,\s;]+')) AS t FROM br",
     "nums": r"""SELECT doc_id, k, win, kind, unnest(CASE WHEN regexp_full_match(t, '\d+') THEN [t::INT]
         WHEN regexp_full_match(t, '\d+-\d+') AND split_part(t, '-', 1)::INT <= split_part(t, '-', 2)::INT AND split_part(t, '-', 2)::INT - split_part(t, '-', 1)::INT <= 20
@@ -173,9 +174,10 @@ _MENTION_CTES = {
 @query("txt_mentions", article_sql("""SELECT doc_id, number, count(*) AS mentions, count(*) FILTER (WHERE kind = 'grouped') AS grouped, count(*) FILTER (WHERE kind = 'range') AS ranges,
     md5(string_agg(win, '|' ORDER BY k)) AS digest FROM uniq GROUP BY doc_id, number""", **_MENTION_CTES))
 def txt_mentions(spark, d):
-    a = articles(spark, d).select("doc_id", T.mention_index(T.body_text("full_text")).alias("index"))
+    a = articles(spark, d).select("doc_id", T.body_text("full_text").alias("body")).withColumn("s", T.sentences("body"))
+    a = a.select("doc_id", T.mention_index("s").alias("index"))
     numbers = F.explode(F.array_distinct(F.flatten(F.transform("index", lambda m: m["numbers"]))))
-    found = a.withColumn("number", numbers).withColumn("m", T.mentions_of("index", "number"))
+    found = T.with_mentions(a.withColumn("number", numbers), "index", "number", "m")
     kinds = lambda k: F.size(F.filter("m", lambda m: m["kind"] == k)).cast("bigint")
     return found.select(
         "doc_id", "number", F.size("m").cast("bigint").alias("mentions"), kinds("grouped").alias("grouped"), kinds("range").alias("ranges"),
@@ -183,7 +185,7 @@ def txt_mentions(spark, d):
     )
 
 
-@query("interval_match", article_sql("SELECT doc_id, k AS sentence, count(*) AS brackets FROM br GROUP BY doc_id, k", **{k: _MENTION_CTES[k] for k in ("cut", "sents", "at", "br")}))
+@query("interval_match", article_sql("SELECT doc_id, k AS sentence, count(*) AS brackets FROM br GROUP BY doc_id, k", **{k: _MENTION_CTES[k] for k in ("cut", "sents", "spots", "br")}))
 def interval_match(spark, d):
     a = articles(spark, d).select("doc_id", T.sentences(T.body_text("full_text")).alias("s"))
     each = a.select("doc_id", F.posexplode("s").alias("i", "text")).withColumn("brackets", F.regexp_count("text", F.lit(r"\[[^\]]+\]")).cast("bigint"))
