@@ -45,11 +45,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BUCKET_ROWS = 1_000_000
+
+
 def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
     """Write ``df`` once, bucketed by ``keys``, so that later joins on them need no shuffle of this side.
 
-    A checkpoint forgets how it was partitioned; a bucketed table in the same folder does not.
+    A checkpoint forgets how it was partitioned; a bucketed table in the same folder does not. Below
+    ``BUCKET_ROWS`` rows the checkpoint alone is returned, as shuffling so few rows costs less than many small files.
     """
+    df = materialise(df)
+    if df.count() < BUCKET_ROWS:
+        return df
     spark = df.sparkSession
     count = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     name = f"valograph_{uuid.uuid4().hex}"
