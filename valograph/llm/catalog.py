@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from valograph.llm.shared import documents
+from valograph.llm.packing import packed, pieces
+from valograph.llm.shared import documents, written
+from valograph.llm.simhash import hexadecimal, near_duplicates
 from valograph.llm.substring import without_repeats
+from valograph.llm.tokenfiles import read_tokens, write_tokens
+from valograph.llm.tokens import public_path
 
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,8 +21,30 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents with their place in sequences of 2,048 tokens."""
+    cut = pieces(documents(spark, folder), public_path("byte_bpe_50k.json"))
+    digests = written(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packed(digests).select("doc_id", F.col("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose fingerprints are linked by differences of three bits or fewer."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    return near_duplicates(docs).select("doc_id", hexadecimal("simhash").alias("fingerprint"), "component_id")
+
+
+def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as they come back from the token files written for them."""
+    manifest = write_tokens(documents(spark, folder), public_path("word_bpe_49k.json"))
+    return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_token_id_output": op10_token_id_output,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 ORACLE: dict[str, str] = {}
 
