@@ -1,14 +1,16 @@
 import random
 
-from valograph.llm.substring import without_repeats
 from tests.llm.brute import repeats_removed
+from valograph.llm.substring import repeats, without_repeats
 
 SCHEMA = "doc_id bigint, text string"
 
 
 def check(spark, rows, window=50):
-    found = without_repeats(spark.createDataFrame(rows, SCHEMA), window=window).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert sorted(map(tuple, found), key=str) == sorted(repeats_removed(rows, window), key=str)
+    df, wanted = spark.createDataFrame(rows, SCHEMA), sorted(repeats_removed(rows, window), key=str)
+    found = without_repeats(df, window=window).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, found), key=str) == wanted
+    assert sorted(map(tuple, repeats(df, window=window).collect()), key=str) == wanted
 
 
 def text(seed, n, vocabulary=400):
