@@ -31,6 +31,7 @@ RUN = 4  # a run of as many equal words is one symbol that pairs with nothing
 LOST = (RUN - 1) + sum(2**r for r in range(ROUNDS))  # words at a passage's end whose symbols may differ: 6
 WIDEST = 2**ROUNDS  # words in a symbol
 LAST_ID = 2**63 - 1
+_NONE = np.uint64(2**64 - 1)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 
 
@@ -106,53 +107,74 @@ def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
     return out
 
 
-def anchors(names: Names, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key and position of the anchors, and how many starts of windows before and after the position they stand for.
+class Anchors:
+    """Anchors of all documents in ``names`` for windows of a given length.
 
-    An anchor at position p stands for the windows that start in [p - before, p - after].
+    ``key`` and ``place`` name an anchor; it stands for the windows that start in [low, high], counted from the start of
+    its document and not yet cut to the document's windows.
     """
-    n, none = len(names.words), np.uint64(2**64 - 1)
-    low, high = LOST, window - LOST - WIDEST  # where in a window the chosen symbol starts
-    span = high - low + 1
-    start, name, length, long = recompressed(names)
-    end_of = names.starts[names.document + 1] if n else np.zeros(0, np.int64)
-    begin_of = names.starts[names.document] if n else np.zeros(0, np.int64)
-    keys, places, before, after = [], [], [], []
-
-    def add(key, place, b, a):
-        keys.append(key)
-        places.append(place)
-        before.append(np.broadcast_to(b, place.shape))
-        after.append(np.broadcast_to(a, place.shape))
-
-    if n >= span:
-        value = np.full(n, none)
-        value[start[~long]] = mixed(name[~long]) >> np.uint64(1)
-        least = _sliding(value, span, True)
-        inside = names.document[: n - span + 1] == names.document[span - 1 :]
-        least = np.where(inside, least, np.uint64(0))
-        padded = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
-        reach = _sliding(padded, span, False)
-        p = np.flatnonzero((reach == value) & (value != none))
-        p = p[(p - low >= begin_of[p]) & (p + window - high <= end_of[p])]
-        add(names.window(p - low, low + window - high), p, high, low)
-    s, e, x = start[long], start[long] + length[long], names.words[start[long]]
-    if len(s):
+
+    def __init__(self, names: Names, window: int):
+        self.names, self.window, n = names, window, len(names.words)
+        self.first, self.last = LOST, window - LOST - WIDEST  # where in a window its chosen symbol starts
+        start, name, length, long = recompressed(names)
+        end_of = names.starts[names.document + 1] if n else np.zeros(0, np.int64)
+        begin_of = names.starts[names.document] if n else np.zeros(0, np.int64)
+        self.value = np.full(n, _NONE)
+        self.value[start[~long]] = mixed(name[~long]) >> np.uint64(1)
+        span = self.last - self.first + 1
+        found = []
+        if n >= span:
+            least = _sliding(self.value, span, True)
+            inside = names.document[: n - span + 1] == names.document[span - 1 :]
+            least = np.where(inside, least, np.uint64(0))
+            padded = np.concatenate((np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)))
+            p = np.flatnonzero((_sliding(padded, span, False) == self.value) & (self.value != _NONE))
+            p = p[(p - self.first >= begin_of[p]) & (p + window - self.last <= end_of[p])]
+            found.append((names.window(p - self.first, self.first + window - self.last), p, p - self.last, p - self.first))
+        s, e, x = start[long], start[long] + length[long], names.words[start[long]]
         left = s[s > begin_of[s]]
-        add(mixed(names.window(left - 1, 1 + RUN) + np.uint64(11)), left, window - RUN, 1)
-        ok = e < end_of[s]
-        right = e[ok]
-        add(mixed(names.window(right - RUN, RUN + 1) + np.uint64(13)), right, window - 1, RUN)
+        found.append((mixed(names.window(left - 1, 1 + RUN) + np.uint64(11)), left, left - window + RUN, left - 1))
+        right = e[e < end_of[s]]
+        found.append((mixed(names.window(right - RUN, RUN + 1) + np.uint64(13)), right, right - window + 1, right - RUN))
         pure = e - s >= window
-        add(mixed(x[pure] + np.uint64(17)), s[pure], 0, -(e - s - window)[pure])
-    if not keys:
-        empty = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), empty, empty, empty
-    return np.concatenate(keys), np.concatenate(places), np.concatenate(before), np.concatenate(after)
-
-
-
-_SIGHTED = pa.schema([("_order", pa.int64()), ("_hash", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("_whole", pa.int64()), ("_whole2", pa.int64()), ("_keys", pa.list_(pa.int64())), ("_low", pa.list_(pa.int32())), ("_high", pa.list_(pa.int32()))])
+        found.append((mixed(x[pure] + np.uint64(17)), s[pure], s[pure], e[pure] - window))
+        self.key, self.place, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
+        self.owner = names.document[self.place] if n else np.zeros(0, np.int64)
+        self.low, self.high = low - names.starts[self.owner], high - names.starts[self.owner]
+        self.in_run = np.zeros(n + 1, np.int64)  # words in long runs before each word
+        np.cumsum(np.bincount(np.repeat(s, e - s) + _ranges(e - s), minlength=n)[:n] if n else [], out=self.in_run[1:])
+
+    def suspects(self, shared: np.ndarray) -> np.ndarray:
+        """Starts of the windows that may stand elsewhere too, given which anchors do.
+
+        A window that meets no long run has its own least symbol, chosen by that window alone: it must be shared.
+        """
+        names, n = self.names, len(self.names.words)
+        base = names.starts[self.owner]
+        last = names.sizes[self.owner] - self.window
+        low, high = np.maximum(self.low, 0), np.minimum(self.high, last)
+        use = shared & (low <= high)
+        marks = np.bincount((base + low)[use], minlength=n + 1) - np.bincount((base + high)[use] + 1, minlength=n + 1)[: n + 1]
+        at = np.flatnonzero(np.cumsum(marks)[:n] > 0)
+        if not len(at):
+            return at
+        span = self.last - self.first + 1
+        own = np.full(n, _NONE)
+        p = self.place[shared]
+        p = p[p < n]
+        own[p] = self.value[p]
+        sure = _sliding(own, span, True)[at + self.first] == _sliding(self.value, span, True)[at + self.first]
+        return at[sure | (self.in_run[at + self.window] > self.in_run[at])]
+
+
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each size."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+_SIGHTED = pa.schema([("_id", pa.int64()), ("_order", pa.int64()), ("_hash", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("_whole", pa.int64()), ("_whole2", pa.int64()), ("_keys", pa.list_(pa.int64())), ("_low", pa.list_(pa.int32())), ("_high", pa.list_(pa.int32()))])
 _WINDOWS = pa.schema([("_order", pa.int64()), ("_hash", pa.int64()), ("_starts", pa.list_(pa.int32())), ("_name", pa.list_(pa.int64())), ("_name2", pa.list_(pa.int64()))])
 
 
@@ -167,26 +189,22 @@ def _sight(window: int):
             for batch in text_slices(whole_batch):
                 documents = [words_of(x) for x in batch.column("text").to_pylist()]
                 names = Names(documents)
-                key, place, before, after = anchors(names, window)
-                order = np.argsort(place, kind="stable")
-                key, place, before, after = key[order], place[order], before[order], after[order]
-                owner = names.document[place]
-                local = place - names.starts[owner]
-                sizes = np.bincount(owner, minlength=len(documents))
-                low = np.maximum(local - before, 0)
-                high = np.minimum(local - after, names.sizes[owner] - window)
+                found = Anchors(names, window)
+                order = np.argsort(found.owner, kind="stable")
+                sizes = np.bincount(found.owner, minlength=len(documents))
                 begins = names.starts[:-1]
                 yield batch_of(
                     _SIGHTED,
+                    _id=batch.column("_id"),
                     _order=batch.column("_order"),
                     _hash=batch.column("_hash"),
                     n_words=names.sizes,
                     kept_sha256=[hashlib.sha256(b" ".join(d)).hexdigest() for d in documents],
                     _whole=(names.window(begins, names.sizes) ^ mixed(names.sizes.astype(np.uint64))).view(np.int64),
                     _whole2=names.window(begins, names.sizes, 1).view(np.int64),
-                    _keys=lists_of(key.view(np.int64), sizes, pa.int64()),
-                    _low=lists_of(low.astype(np.int32), sizes, pa.int32()),
-                    _high=lists_of(high.astype(np.int32), sizes, pa.int32()),
+                    _keys=lists_of(found.key[order].view(np.int64), sizes, pa.int64()),
+                    _low=lists_of(found.low[order].astype(np.int32), sizes, pa.int32()),
+                    _high=lists_of(found.high[order].astype(np.int32), sizes, pa.int32()),
                 )
 
     return run
@@ -197,16 +215,13 @@ def _name_windows(window: int):
         for whole_batch in batches:
             for batch in text_slices(whole_batch):
                 names = Names([words_of(x) for x in batch.column("text").to_pylist()])
-                chosen = []
-                for i, spans in enumerate(batch.column("_spans").to_pylist()):
-                    marks = np.zeros(int(names.sizes[i]) + 2, np.int32)
-                    for s in spans:
-                        marks[s["low"]] += 1
-                        marks[s["high"] + 1] -= 1
-                    chosen.append(np.flatnonzero(np.cumsum(marks) > 0))
-                sizes = np.array([len(x) for x in chosen], np.int64)
-                starts = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-                at = starts + np.repeat(names.starts[:-1], sizes)
+                found = Anchors(names, window)
+                known = [{(x["low"], x["high"]) for x in spans} for spans in batch.column("_spans").to_pylist()]
+                spans = zip(found.owner.tolist(), found.low.tolist(), found.high.tolist(), strict=True)
+                at = found.suspects(np.fromiter(((low, high) in known[i] for i, low, high in spans), bool, len(found.key)))
+                owner = names.document[at]
+                sizes = np.bincount(owner, minlength=batch.num_rows)
+                starts = at - names.starts[owner]
                 yield batch_of(
                     _WINDOWS,
                     _order=batch.column("_order"),
@@ -219,58 +234,61 @@ def _name_windows(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Windows of ``window`` words that also start in a row with a smaller id.
 
-    Returns one row per input row (``_order``, ``_hash``, ``n_words``, ``kept_sha256`` of the whole word sequence,
-    ``_copied``: the whole text is that of a smaller id) and, for rows that are no copies, the starts of the windows
-    (``_order``, ``_hash``, ``_starts``). A null text has no words. A null id comes after all others. Rows that share an
+    Returns one row per input row (``_id``, ``_order``, ``_hash``, ``n_words``, ``kept_sha256`` of the whole word
+    sequence, ``_copied``: the whole text is that of a smaller id), for rows that are no copies the starts of the windows
+    (``_order``, ``_hash``, ``_starts``), and the texts that came into question. A null text has no words. A null id comes after all others. Rows that share an
     id are judged each on its own text and never remove from each other.
     """
     if window < 2 * (LOST + WIDEST):
         raise ValueError(f"window must be {2 * (LOST + WIDEST)} words or more")
-    source = keyed(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), "_id", "text").select("_order", "_hash", "text")
+    source = keyed(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")), "_id", "text").select("_id", "_order", "_hash", "text")
     sighted = written(source.mapInArrow(_sight(window), from_arrow_schema(_SIGHTED)), "sighted")
 
     # Texts that are equal as a whole have one top symbol: all but the first are copies, and no evidence for each other.
     whole = ["_whole", "_whole2"]
     several = sighted.groupBy(*whole).agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*whole, "_first")
     rows = written(
-        sighted.select("_order", "_hash", "n_words", "kept_sha256", *whole)
+        sighted.select("_id", "_order", "_hash", "n_words", "kept_sha256", *whole)
         .join(several, whole, "left")
-        .select("_order", "_hash", "n_words", "kept_sha256", F.coalesce(F.col("_order") > F.col("_first"), F.lit(False)).alias("_copied")),
+        .select("_id", "_order", "_hash", "n_words", "kept_sha256", F.coalesce(F.col("_order") > F.col("_first"), F.lit(False)).alias("_copied")),
         "rows",
     )
 
     found = sighted.select("_order", "_hash", "_whole", F.explode(F.arrays_zip("_keys", "_low", "_high")).alias("_a"))
-    shared = (
+    # Written before it is joined: only then can adaptive execution split a key that very many rows have.
+    shared = written(
         found.select("_whole", F.col("_a._keys").alias("_key"))
         .groupBy("_key")
         .agg(F.min("_whole").alias("_w0"), F.max("_whole").alias("_w1"))
         .where("_w0 <> _w1")
-        .select("_key")
+        .select("_key"),
+        "shared",
     )
     spans = (
         found.select("_order", "_hash", F.col("_a._keys").alias("_key"), F.col("_a._low").alias("low"), F.col("_a._high").alias("high"))
-        .where("low <= high")
         .join(shared, "_key")
         .groupBy("_order", "_hash")
         .agg(F.collect_set(F.struct("low", "high")).alias("_spans"))
     )
     suspects = spans.join(rows.where("_copied").select("_order", "_hash"), ["_order", "_hash"], "left_anti")
-    windows = written(source.join(suspects, ["_order", "_hash"]).mapInArrow(_name_windows(window), from_arrow_schema(_WINDOWS)), "windows")
+    texts = written(source.drop("_id").join(suspects, ["_order", "_hash"]), "texts")
+    windows = written(texts.mapInArrow(_name_windows(window), from_arrow_schema(_WINDOWS)), "windows")
 
     named = windows.select("_order", "_hash", F.explode(F.arrays_zip("_starts", "_name", "_name2")).alias("_w")).select(
         "_order", "_hash", F.col("_w._starts").alias("_start"), F.col("_w._name").alias("_name"), F.col("_w._name2").alias("_name2")
     )
     least = named.groupBy("_name", "_name2").agg(F.min("_order").alias("_least"), F.max("_order").alias("_most")).where("_least < _most")
+    least = written(least.drop("_most"), "least")
     starts = (
-        named.join(least.drop("_most"), ["_name", "_name2"])
+        named.join(least, ["_name", "_name2"])
         .where("_order > _least")
         .groupBy("_order", "_hash")
         .agg(F.collect_set("_start").alias("_starts"))
     )
-    return rows, written(starts, "starts")
+    return rows, written(starts, "starts"), texts.drop("_spans")
 
 
 def _cut(window: int, column: str):
@@ -305,7 +323,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Adds ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``; columns of these names are replaced.
     """
     added = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    rows, starts = repeated_windows(docs, doc_id, text, window)
+    rows, starts, _ = repeated_windows(docs, doc_id, text, window)
     base = keyed(docs.drop(*added), doc_id, text)
     marks = rows.where("_copied").select("_order", "_hash", F.lit(True).alias("_copied")).distinct()
     cuts = starts.join(marks, ["_order", "_hash"], "full")
@@ -313,3 +331,22 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept = T.StructType([f for f in joined.schema if f.name not in ("_starts", "_copied")])
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
     return joined.mapInArrow(_cut(window, text), schema)
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every row, without the texts.
+
+    Moves only the texts that came into question; all others are known from the first pass.
+    """
+    rows, starts, texts = repeated_windows(docs, doc_id, text, window)
+    changed = texts.dropDuplicates(["_order", "_hash"]).join(starts, ["_order", "_hash"]).withColumn("_copied", F.lit(False))
+    keys = [T.StructField(c, T.LongType()) for c in ("_order", "_hash")]
+    added = [T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]
+    cut = changed.mapInArrow(_cut(window, "text"), T.StructType(keys + added)).select("_order", "_hash", F.col("n_removed").alias("_removed"), F.col("kept_sha256").alias("_digest"))
+    gone = F.col("_copied") & (F.col("n_words") >= window)
+    return rows.join(cut, ["_order", "_hash"], "left").select(
+        F.col("_id").alias("doc_id"),
+        "n_words",
+        F.when(gone, F.col("n_words")).otherwise(F.coalesce("_removed", F.lit(0))).cast("bigint").alias("n_removed"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("_digest", "kept_sha256")).alias("kept_sha256"),
+    )
