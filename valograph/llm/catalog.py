@@ -7,18 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valograph.llm.decontam import contaminated
 from valograph.llm.packing import packed, pieces
+from valograph.llm.quality import BASE, judged
 from valograph.llm.shared import documents, written
 from valograph.llm.simhash import hexadecimal, near_duplicates
-from valograph.llm.substring import without_repeats
+from valograph.llm.substring import repeats
 from valograph.llm.tokenfiles import read_tokens, write_tokens
 from valograph.llm.tokens import public_path
+from valograph.llm.warc import read_warc, write_warc
+
+
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document and whether the base rules and the certified cutoffs keep it."""
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    return judged(docs, documents(spark, folder, "labels")).select("doc_id", *BASE, "kept")
 
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words that remain after windows of 50 words that start in an earlier document are removed."""
-    docs = documents(spark, folder).select("doc_id", "text")
-    return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return repeats(documents(spark, folder))
 
 
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +36,17 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(digests).select("doc_id", F.col("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a test item, exact or edited, with the item and the alignment's score."""
+    return contaminated(documents(spark, folder), documents(spark, folder, "benchmark")).select("doc_id", "item_id", "score")
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as they come back from the archives written for them."""
+    read = read_warc(write_warc(documents(spark, folder, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose fingerprints are linked by differences of three bits or fewer."""
     docs = documents(spark, folder).select("doc_id", "text")
@@ -42,8 +61,11 @@ def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_id_output": op10_token_id_output,
+    "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op7_warc": op7_warc,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 ORACLE: dict[str, str] = {}

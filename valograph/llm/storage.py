@@ -24,7 +24,7 @@ def create(uri: str):
     """Output stream for a new file, with its folder."""
     store, path = open_store(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)  # else a name in .gz would be packed twice
 
 
 def read_range(uri: str, start: int, length: int) -> bytes:
