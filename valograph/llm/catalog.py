@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valograph.llm.decontam import contaminated
+from valograph.llm.html import main_text
+from valograph.llm.lm import scored
 from valograph.llm.packing import packed, pieces
 from valograph.llm.quality import BASE, judged
 from valograph.llm.shared import documents, written
@@ -41,6 +43,11 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminated(documents(spark, folder), documents(spark, folder, "benchmark")).select("doc_id", "item_id", "score")
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(documents(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as they come back from the archives written for them."""
     read = read_warc(write_warc(documents(spark, folder, "pages")))
@@ -59,14 +66,22 @@ def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document under the unigram base and the hierarchical Pitman-Yor model."""
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored(documents(spark, folder)).select(*columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_id_output": op10_token_id_output,
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_html_extraction": op6_html_extraction,
     "op7_warc": op7_warc,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 ORACLE: dict[str, str] = {}
 
