@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valograph.llm.chat import formatted
 from valograph.llm.decontam import contaminated
 from valograph.llm.html import main_text
 from valograph.llm.lm import scored
@@ -43,6 +44,11 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contaminated(documents(spark, folder), documents(spark, folder, "benchmark")).select("doc_id", "item_id", "score")
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation with its roles repaired at least cost, rendered for training."""
+    return formatted(documents(spark, folder, "conversations"))
+
+
 def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return main_text(documents(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_html_extraction": op6_html_extraction,
     "op7_warc": op7_warc,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,

@@ -89,7 +89,7 @@ def aligned(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 _SEEN = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-_MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())])
+_MATCHES = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())])
 
 
 def _count(items):
@@ -118,12 +118,12 @@ def _align(items, seeds: np.ndarray, least: float):
         for whole in batches:
             for batch in text_slices(whole):
                 out = {f.name: [] for f in _MATCHES}
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
                     words = own.numbers(text)
                     for k, (score, end) in _best(own, words, codes, owners, unique).items():
                         share = score / (MATCH * len(own.words[k]))
                         if share >= least:
-                            for name, value in zip(_MATCHES.names, (doc_id, own.ids[k], share, end), strict=True):
+                            for name, value in zip(_MATCHES.names, (doc_id, text_hash, own.ids[k], share, end), strict=True):
                                 out[name].append(value)
                 yield batch_of(_MATCHES, **out)
 
@@ -164,14 +164,14 @@ def _best(own: Items, words: np.ndarray, codes, owners, unique) -> dict[int, tup
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rare: float = RARE, score: float = SCORE) -> DataFrame:
-    """Pairs ``doc_id, item_id, score, end_word``: documents that hold a copy of a test item, exact or edited.
+    """Pairs ``doc_id, text_hash, item_id, score, end_word``: documents that hold a copy of a test item, exact or edited.
 
     ``score`` is the alignment's share of a full match, at least the given one; ``end_word`` is where it ends. Null and
     empty texts and items match nothing. Repeated rows give repeated pairs. The documents are read twice, for the counts
     and for the search, and never shuffled.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     total = texts.count()
@@ -201,3 +201,11 @@ def seeds_of(items: Items, frequency: dict[int, int], most: float) -> np.ndarray
         limit = n[ranked[(size + 2) // 3 - 1]]
         keep[ranked[n[ranked] <= limit]] = True
     return keep
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no test item; they are told apart by id and text."""
+    found = contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
+    same = keyed[doc_id].eqNullSafe(found["_id"]) & (keyed["_text_hash"] == found["_hash"])
+    return keyed.join(found, same, "left_anti").drop("_text_hash")

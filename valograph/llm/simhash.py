@@ -69,19 +69,19 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits((2 * ones > count).ravel(), bitorder="little").view(np.uint64)[0])
 
 
-_PRINTED = pa.schema([("doc_id", pa.int64()), ("simhash", pa.int64())])
+_PRINTED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("simhash", pa.int64())])
 
 
 def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in text_slices(whole):
             values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
-            yield batch_of(_PRINTED, doc_id=batch.column("doc_id"), simhash=values.view(np.int64))
+            yield batch_of(_PRINTED, doc_id=batch.column("doc_id"), text_hash=batch.column("text_hash"), simhash=values.view(np.int64))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``simhash`` (64 bits as a signed long) of every row; a null text has no words."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    """``doc_id``, ``text_hash`` and ``simhash`` (64 bits as a signed long) of every row; a null text has no words."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     return rows.mapInArrow(_print, from_arrow_schema(_PRINTED))
 
 
@@ -159,7 +159,8 @@ def links_of(values: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``simhash`` and ``component_id``, the smallest id that links of three bits or fewer reach.
+    """``doc_id, text_hash, simhash, root, component_id``: the latter is the smallest id that links of three bits or fewer
+    reach, ``root`` the least fingerprint.
 
     One row per input row. Rows without words have fingerprint 0 and are linked like any other. Rows with a null id
     link others; their own component has a null id only if no row in it has one.
@@ -169,14 +170,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = smallest_reachable(links_of(distinct.select("simhash")))
     rooted = written(distinct.join(roots, distinct["simhash"] == roots["node"], "left").select("simhash", "least", "n", F.coalesce("root", "simhash").alias("root")), "rooted")
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(component, "root").select(F.col("simhash").alias("_value"), "component_id", "n")
+    named = rooted.join(component, "root").select(F.col("simhash").alias("_value"), "root", "component_id", "n")
     # At most 1,000 values can each hold more than a thousandth of the rows: those are broadcast, the rest shuffled.
     rows = prints.count()
     own = prints["simhash"] == named["_value"]
     common = F.broadcast(named.where(F.col("n") * 1000 > rows))
     rest = prints.join(common, own, "left_anti").join(named.where(F.col("n") * 1000 <= rows), own)
-    return prints.join(common, own).unionByName(rest).select("doc_id", "simhash", "component_id")
+    return prints.join(common, own).unionByName(rest).select("doc_id", "text_hash", "simhash", "root", "component_id")
 
 
 def hexadecimal(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which one stands for each group: that with the smallest id (null last), then the least hash
+    of the text; of equal rows one."""
+    groups = near_duplicates(docs, doc_id, text)
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.text_hash").alias("_hash"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
+    same = keyed[doc_id].eqNullSafe(chosen["_id"]) & (keyed["_text_hash"] == chosen["_hash"])
+    return keyed.join(chosen, same, "left_semi").dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
