@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
 
 Words are compared lower-cased and without punctuation. A seed is an n-gram of a test item that is rare in the corpus:
-in at most ``rare`` of its documents, or among the rarest third of its item's n-grams, so that an item that leaked very
-often keeps its seeds. Passages around seeds are aligned with the item; equal words score, other words and gaps cost, so
+in at most ``rare`` of its documents, or at most twice as frequent as its item's median n-gram, so that an item that
+leaked very often keeps its seeds: a leak adds to all of them alike. Passages around seeds are aligned with the item; equal words score, other words and gaps cost, so
 edited and paraphrased copies still score high. The score is the best alignment's share of the item's own.
 
 Test items are the stated query set: they are few, and where they are many they are taken in blocks of bounded size.
@@ -189,17 +189,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 
 def seeds_of(items: Items, frequency: dict[int, int], most: float) -> np.ndarray:
-    """Which (n-gram, item) pairs are seeds: rare ones, and the rarest third of each item's."""
+    """Which (n-gram, item) pairs are seeds: those in ``most`` documents at most, or in twice the item's median at most."""
     n = np.array([frequency.get(int(c), 0) for c in items.codes], np.int64)
     keep = n <= most
-    order = np.lexsort((n, items.owners))
-    owners = items.owners[order]
-    first = np.concatenate(([0], np.flatnonzero(np.diff(owners)) + 1)) if len(owners) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(first, len(owners)))
-    for start, size in zip(first.tolist(), sizes.tolist(), strict=True):
-        ranked = order[start : start + size]
-        limit = n[ranked[(size + 2) // 3 - 1]]
-        keep[ranked[n[ranked] <= limit]] = True
+    order = np.argsort(items.owners, kind="stable")
+    cuts = np.flatnonzero(np.diff(items.owners[order])) + 1
+    for own in np.split(order, cuts):
+        if len(own):
+            keep[own] |= n[own] <= 2 * np.median(n[own])
     return keep
 
 
