@@ -91,3 +91,18 @@ def test_rank_change_brute_force(scored):
     row = rank_change(scored, "x", "y").first()
     assert row["mean_rank_change"] == pytest.approx(moved.mean()) and row["max_rank_change"] == pytest.approx(moved.max())
     assert isinstance(pdf, pd.DataFrame)
+
+
+def test_null_values_keep_their_rows_and_come_last(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 7), (None, 4, None), (None, 5, 1), ("a", 6, None)], "g string, id long, v long")
+    got = {r.id: (r.r, r.p) for r in with_row_number(with_rank(df, "v", "r", by=["g"]), "v", "id", "p", ["g"]).collect()}
+    assert got == {1: (2, 2), 2: (None, 3), 3: (1, 1), 4: (None, 2), 5: (1, 1), 6: (None, 4)}
+
+
+def test_large_integers_and_one_common_value_rank_exactly(spark):
+    big = [(i, 2**53 + i) for i in range(6)]
+    got = {r.id: r.r for r in with_rank(spark.createDataFrame(big, "id long, v long"), "v", "r").collect()}
+    assert got == {i: 6 - i for i in range(6)}
+    common = [(i, 3 if i % 10 else i) for i in range(500)]
+    got = {r.id: r.p for r in with_row_number(spark.createDataFrame(common, "id long, v long"), "v", "id", "p").collect()}
+    assert [i for i, _ in sorted(common, key=lambda x: (-x[1], x[0]))] == sorted(got, key=got.get)

@@ -16,14 +16,24 @@ from pyspark.sql import functions as F
 
 
 def range_count(df: DataFrame) -> int:
-    """How many value ranges to cut: the session's shuffle parallelism, within sensible bounds."""
-    return max(8, min(512, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """How many value ranges to cut: as many as the session's shuffle has partitions, so that they grow with the cluster."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys`` where null equals null; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def value_ranks(
     df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = True, ranges: int | None = None
 ) -> DataFrame:
-    """One row per distinct value: ``n`` rows hold it and ``ahead`` rows come before it."""
+    """One row per distinct value: ``n`` rows hold it and ``ahead`` rows come before it. Null comes after all others.
+
+    Values are ordered as they are; their double value only decides into which range they fall.
+    """
     by = list(by)
     ranges = ranges or range_count(df)
     key = -F.col(value).cast("double") if descending else F.col(value).cast("double")
@@ -34,16 +44,18 @@ def value_ranks(
     bounds = counts.groupBy(*by).agg(
         F.percentile_approx(F.when(F.col("n") > 0, F.col("_key")), cuts, F.lit(10 * ranges)).alias("_cuts")
     )
-    joined = counts.join(bounds, by) if by else counts.crossJoin(F.broadcast(bounds))
-    placed = joined.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts")
+    joined = join_null_safe(counts, bounds, by) if by else counts.crossJoin(F.broadcast(bounds))
+    in_range = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
+    placed = joined.withColumn("_range", F.when(F.col("_key").isNull(), F.lit(ranges)).otherwise(in_range)).drop("_cuts")
 
     totals = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_total"))
     before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
 
-    inside = W.partitionBy(*by, "_range").orderBy("_key").rowsBetween(W.unboundedPreceding, -1)
+    order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
+    inside = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = placed.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return local.join(offsets, [*by, "_range"]).select(*by, value, "n", (F.col("_offset") + F.col("_local")).alias("ahead"))
+    return join_null_safe(local, offsets, [*by, "_range"]).select(*by, value, "n", (F.col("_offset") + F.col("_local")).alias("ahead"))
 
 
 def _rank_value(method: str) -> Column:
@@ -64,13 +76,13 @@ def with_ranks(
 ) -> DataFrame:
     """Add one rank column per entry of ``ranks`` (new column to value column).
 
-    ``method`` is the competition rank (``min``) or the ``average`` rank. Every rank is taken from ``df`` itself, so
+    ``method`` is the competition rank (``min``) or the ``average`` rank. A null value keeps its row and has no rank. Every rank is taken from ``df`` itself, so
     the work grows with the number of ranks and not with their product.
     """
     out = df
     for name, value in ranks.items():
-        table = value_ranks(df, value, by, descending, ranges).select(*by, value, _rank_value(method).alias(name))
-        out = out.join(table, [*by, value])
+        rank = F.when(F.col(value).isNotNull(), _rank_value(method)).alias(name)
+        out = join_null_safe(out, value_ranks(df, value, by, descending, ranges).select(*by, value, rank), [*by, value])
     return out
 
 
@@ -98,7 +110,8 @@ def with_row_number(
 ) -> DataFrame:
     """Add a gapless position ordered by ``value`` and then by the unique numeric column ``tie``.
 
-    A value shared by many rows is itself cut into ranges of ``tie``, so no task holds a whole tie group.
+    A value shared by many rows is itself cut into ranges of ``tie``, so no task holds a whole tie group. Null values
+    come last.
     """
     by = list(by)
     ranges = ranges or range_count(df)
@@ -112,12 +125,11 @@ def with_row_number(
     ranks = value_ranks(df, value, by, descending, ranges).select(*by, value, "ahead")
     cells = placed.groupBy(*by, value, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*by, value).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cells.select(*by, value, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(
-        ranks, [*by, value]
-    )
+    ahead_in_value = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+    offsets = join_null_safe(cells.select(*by, value, "_cell", ahead_in_value), ranks, [*by, value])
     local = placed.withColumn("_local", F.row_number().over(W.partitionBy(*by, value, "_cell").orderBy(tie)))
     position = (F.col("ahead") + F.col("_before") + F.col("_local")).cast("bigint").alias(out)
-    return local.join(offsets, [*by, value, "_cell"]).select(*df.columns, position)
+    return join_null_safe(local, offsets, [*by, value, "_cell"]).select(*df.columns, position)
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

@@ -37,7 +37,8 @@ def _correlation() -> Column:
 
 
 def spearman(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of average ranks; null where a side is constant."""
+    """Pearson correlation of average ranks over rows that have both values; null where a side is constant."""
+    df = df.where(F.col(left).isNotNull() & F.col(right).isNotNull())
     return average_ranks(df, left, right, by).groupBy(*by).agg(_correlation().alias("spearman"))
 
 
@@ -64,6 +65,7 @@ def kendall(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> Dat
     equal ranges, so a group is spread over tasks, and equal cells are folded before they are expanded.
     """
     by = list(by)
+    df = df.where(F.col(left).isNotNull() & F.col(right).isNotNull())
     left_ranks = value_ranks(df, left, by, descending=False).select(*by, left, F.col("ahead").alias("_x"), F.col("n").alias("_xn"))
     right_ranks = value_ranks(df, right, by, descending=False).select(*by, right, F.col("ahead").alias("_y"), F.col("n").alias("_yn"))
     cells = df.groupBy(*by, left, right).agg(F.count(F.lit(1)).alias("_c"))
@@ -96,8 +98,8 @@ def kendall(df: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> Dat
     blocks = folded.groupBy(*by, "_bit", "_prefix", "_range").agg(F.sum("_low").alias("_low"), F.sum("_high").alias("_high"))
     across = W.partitionBy(*by, "_bit", "_prefix").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     far = blocks.withColumn("_before", F.coalesce(F.sum("_low").over(across), F.lit(0)))
-    met = [f.select(*by, (F.col("_high") * F.col("_before")).alias("_pairs")) for f in (near, far)]
-    concordant = met[0].unionByName(met[1]).groupBy(*by).agg(F.sum("_pairs").cast("double").alias("concordant"))
+    met = [f.select(*by, (F.col("_high").cast("double") * F.col("_before")).alias("_pairs")) for f in (near, far)]
+    concordant = met[0].unionByName(met[1]).groupBy(*by).agg(F.sum("_pairs").alias("concordant"))
 
     total = F.col("rows") * (F.col("rows") - 1) / 2
     untied = total - F.col("tie_x") - F.col("tie_y") + F.col("tie_xy")

@@ -15,6 +15,7 @@ from valograph.operators.windows import neighbour_text
 from valograph.sources.readers import read_table
 from valograph.workload import model as M
 from valograph.workload.model import sql
+from valograph.session import materialise
 from valograph.workload.registry import query
 from valograph.workload.scalars import STRATUM_SQL, LABEL_SQL, STRICT_LABEL_SQL, r6
 
@@ -260,11 +261,11 @@ def agg_ratio(spark, d):
 
 @query(
     "agg_histogram",
-    "SELECT CAST(least(9, floor((value - 0.0) / 20.0)) AS INT) AS bin, count(*) AS n FROM (SELECT least(value, 200.0) AS value FROM events) GROUP BY ALL",
+    """SELECT CASE WHEN value IS NULL THEN NULL WHEN value < 0 OR value > 200 THEN -1
+         ELSE CAST(least(9, floor(value / 20.0)) AS INT) END AS bin, count(*) AS n FROM events GROUP BY ALL""",
 )
 def agg_histogram(spark, d):
-    e = read_table(spark, d, "events").select(F.least("value", F.lit(200.0)).alias("value"))
-    return R.histogram(e, "value", 0.0, 200.0, 10)
+    return R.histogram(read_table(spark, d, "events"), "value", 0.0, 200.0, 10)
 
 
 @query(
@@ -368,6 +369,18 @@ def rank_avg(spark, d):
     return with_rank(_customers(spark, d), "orders", "order_rank", "average").select("c_custkey", "orders", "order_rank")
 
 
+@query(
+    "rank_nulls",
+    """SELECT event_id, CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v DESC NULLS LAST) END AS value_rank,
+         row_number() OVER (ORDER BY v DESC NULLS LAST, event_id) AS position
+       FROM (SELECT event_id, CASE WHEN event_type <> 'click' THEN value END AS v FROM events)""",
+)
+def rank_nulls(spark, d):
+    """Ranks of a column with nulls: their rows stay, without a rank and at the end."""
+    e = read_table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "click", F.col("value")).alias("v"))
+    return with_row_number(with_rank(e, "v", "value_rank"), "v", "event_id", "position").select("event_id", "value_rank", "position")
+
+
 @query("rank_row_number", "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS position FROM orders")
 def rank_row_number(spark, d):
     o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -389,13 +402,15 @@ def context_window(spark, d):
 
 @query(
     "sort_multi",
-    sql("""SELECT * FROM (SELECT source_id, count(*) AS n, round(max(q_ij), 6) AS best_q, row_number() OVER (ORDER BY count(*) DESC, round(max(q_ij), 6) DESC, source_id) AS position
-           FROM scored GROUP BY source_id) WHERE position <= 100"""),
+    sql("""SELECT source_id, count(*) AS n, round(max(q_ij), 6) AS best_q,
+             row_number() OVER (ORDER BY count(*) DESC, round(max(q_ij), 6) DESC, source_id) AS position
+           FROM scored GROUP BY source_id"""),
 )
 def sort_multi(spark, d):
     g = M.scored(spark, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), r6(F.max("q_ij")).alias("best_q"))
-    out = R.top_per_key(g, [], [F.desc("n"), F.desc("best_q"), F.asc("source_id")], 100)
-    return out.withColumn("position", F.col("position").cast("bigint"))
+    # One number holds both sort keys: the count, and the score in millionths below it.
+    g = materialise(g).withColumn("both", F.col("n") * 10_000_000 + F.coalesce(F.round(F.col("best_q") * 1_000_000), F.lit(-1)).cast("bigint"))
+    return with_row_number(g, "both", "source_id", "position").drop("both")
 
 
 @query("topn", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
