@@ -2,6 +2,7 @@
 
 import json
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,16 +71,34 @@ def test_csv_round_trip_and_encodings(spark, tmp_path):
     (tmp_path / "bom.csv").write_bytes("id,t\n1,x\n".encode("utf-8-sig"))
     assert readers.read_csv(spark, str(tmp_path / "gb.csv")).first()["t"] == "价格"
     assert readers.read_csv(spark, str(tmp_path / "bom.csv")).columns == ["id", "t"]
-    assert sinks.markdown_table(spark.createDataFrame([(1, 0.5, None)], "a int, b double, c string")).splitlines()[2] == "| 1 | 0.500000 |  |"
+    (tmp_path / "replaced.csv").write_bytes("id,t\n1,a\ufffdb é\n".encode())
+    assert readers.read_csv(spark, str(tmp_path / "replaced.csv")).first()["t"] == "a\ufffdb é"
+
+
+def test_markdown_of_any_length(spark, tmp_path):
+    rows = [(i, 0.5 if i else float("nan"), None if i % 2 else "x\ny") for i in range(3000)]
+    sinks.write_markdown(spark.createDataFrame(rows, "a int, b double, c string"), str(tmp_path / "m"))
+    lines = [line for part in sorted((tmp_path / "m").glob("part-*")) for line in part.read_text().splitlines()]
+    assert lines[:3] == ["| a | b | c |", "| --- | --- | --- |", "| 0 |  | x y |"] and lines[3] == "| 1 | 0.500000 |  |"
+    assert len(lines) == 3002
+
+
+def test_snippets_with_one_slug_stay_apart(spark, tmp_path):
+    rows = [("A b", "one"), ("a-B", "two"), ("a b", "three")]
+    sinks.write_snippets(spark.createDataFrame(rows, "k string, t string"), "k", "t", str(tmp_path / "s"))
+    assert sorted((r.key, r.text) for r in spark.read.json(str(tmp_path / "s")).collect()) == sorted(rows)
 
 
 def test_graphml_round_trip(spark, tmp_path):
     nodes = spark.createDataFrame([("P_1", "paper"), ("A_<1>", "author")], "id string, node_type string")
     edges = spark.createDataFrame([("P_1", "A_<1>", "written_by")], "src string, dst string, edge_type string")
     sinks.write_graphml(nodes, edges, str(tmp_path / "g"))
-    back = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string, data array<struct<_VALUE:string,_key:string>>").load(str(tmp_path / "g"))
-    row = back.first()
-    assert (row["_source"], row["_target"], row["data"][0]["_VALUE"]) == ("P_1", "A_<1>", "written_by")
+    back_nodes, back_edges = readers.read_graphml(spark, str(tmp_path / "g"))
+    assert {r.id: r.attributes["node_type"] for r in back_nodes.collect()} == {"P_1": "paper", "A_<1>": "author"}
+    row = back_edges.first()
+    assert (row.src, row.dst, row.attributes["edge_type"]) == ("P_1", "A_<1>", "written_by")
+    text = "\n".join(part.read_text() for part in sorted((tmp_path / "g").glob("part-*")))
+    assert ElementTree.fromstring(text.split("?>", 1)[1]).tag.endswith("graphml")
 
 
 def test_payload_source(spark):

@@ -29,12 +29,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str | None = None) -> DataFrame:
     """CSV with a header, quoted line breaks and doubled quotes.
 
-    Text that is not UTF-8 is brought to it first: by the given encoding, or by GB18030 where a Spark scan of the
-    whole input meets a byte sequence UTF-8 does not have.
+    Text that is not UTF-8 is brought to it first: by the given encoding, or by GB18030 where the bytes of a line, read
+    as Latin-1 so that none is lost, are no valid UTF-8. A replacement character that the text holds itself is valid.
     """
     if encoding is None:
-        lines = spark.read.options(sep="\x01", quote="").csv(path, schema="line string")
-        encoding = "utf-8" if lines.where(F.contains("line", F.lit("�"))).isEmpty() else FALLBACK_ENCODING
+        lines = spark.read.options(sep="\x01", quote="", encoding="ISO-8859-1").csv(path, schema="line string")
+        bad = F.col("line").isNotNull() & ~F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string"))
+        encoding = "utf-8" if lines.where(bad).isEmpty() else FALLBACK_ENCODING
     source = path if encoding.lower() in ("utf-8", "utf8") else _as_utf8(spark, path, encoding)
     reader = spark.read.options(header=True, multiLine=True, escape='"')
     return reader.csv(source, schema=schema) if schema else reader.csv(source, inferSchema=True)
@@ -50,13 +51,14 @@ def _as_utf8(spark: SparkSession, path: str, encoding: str) -> str:
 def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes ``(id, attributes)`` and edges ``(src, dst, attributes)`` with attributes named as the keys declare."""
     key_schema = "_id string, `_attr.name` string"
-    keys = spark.read.format("xml").option("rowTag", "key").schema(key_schema).load(path)
+    keys = spark.read.format("xml").option("rowTag", "key").schema(key_schema).load(path).where("_id is not null")
     names = F.map_from_entries(F.collect_list(F.struct(F.col("_id"), F.col("`_attr.name`"))))
     named = keys.agg(names.alias("_names"))
     data = "array<struct<_VALUE:string,_key:string>>"
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, data {data}").load(path)
-    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, data {data}").load(path)
-    pairs = F.transform(F.coalesce("data", F.array().cast(data)), lambda d: F.struct(F.col("_names")[d["_key"]], d["_VALUE"]))
+    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, data {data}").load(path).where("_id is not null")
+    edges = spark.read.format("xml").option("rowTag", "edge").schema(f"_source string, _target string, data {data}").load(path).where("_source is not null")
+    name = lambda d: F.coalesce(F.try_element_at(F.col("_names"), d["_key"]), d["_key"])  # noqa: E731  an undeclared key names itself
+    pairs = F.transform(F.coalesce("data", F.array().cast(data)), lambda d: F.struct(name(d), d["_VALUE"]))
     attributes = F.map_from_entries(pairs).alias("attributes")
     with_names = lambda df: df.crossJoin(F.broadcast(named))
     return (

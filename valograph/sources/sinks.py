@@ -15,19 +15,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, escape='"', quoteAll=True).csv(path)
 
 
-def markdown_table(df: DataFrame, max_rows: int = 1000) -> str:
-    """A report table. It is meant for summaries and refuses more than ``max_rows`` rows."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows; write a CSV instead")
-    lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join(["---"] * len(df.columns)) + " |"]
-    return "\n".join(lines + ["| " + " | ".join(_cell(v) for v in row) + " |" for row in rows])
+def markdown_lines(df: DataFrame) -> DataFrame:
+    """A report table, one line per row, built in the tasks: six decimals, null as nothing, line breaks as spaces."""
+    spark = df.sparkSession
+    head = spark.createDataFrame([("| " + " | ".join(df.columns) + " |",), ("| " + " | ".join(["---"] * len(df.columns)) + " |",)], "value string")
+    cells = [_cell(F.col(f"`{name}`"), kind) for name, kind in df.dtypes]
+    lines = df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+    return head.coalesce(1).unionByName(lines)
 
 
-def _cell(value: object) -> str:
-    if value is None or (isinstance(value, float) and value != value):
-        return ""
-    return f"{value:.6f}" if isinstance(value, float) else str(value).replace("\n", " ").strip()
+def write_markdown(df: DataFrame, path: str) -> None:
+    """A folder of text parts, which read in order are one table; of any length."""
+    markdown_lines(df).write.mode("overwrite").text(path)
+
+
+def _cell(value: Column, kind: str) -> Column:
+    if kind in ("double", "float"):
+        return F.when(value.isNull() | F.isnan(value), F.lit("")).otherwise(F.format_string("%.6f", value.cast("double")))
+    return F.coalesce(F.trim(F.replace(value.cast("string"), F.lit("\n"), F.lit(" "))), F.lit(""))
 
 
 def _xml(value: Column) -> Column:
@@ -51,14 +56,30 @@ def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A folder whose part files are fragments of one GraphML document, readable by the XML source."""
-    graphml_lines(nodes, edges).write.mode("overwrite").text(path)
+    """A folder of parts; read in order they are one GraphML document, with the keys its data elements use."""
+    spark = nodes.sparkSession
+    kinds = {"bigint": "long", "int": "int", "double": "double", "float": "float", "boolean": "boolean"}
+    keys = [
+        f'<key id="{name}" for="{owner}" attr.name="{name}" attr.type="{kinds.get(kind, "string")}"></key>'
+        for owner, df, own in (("node", nodes, {"id"}), ("edge", edges, {"src", "dst"}))
+        for name, kind in df.dtypes
+        if name not in own
+    ]
+    line = lambda *values: spark.createDataFrame([(v,) for v in values], "value string").coalesce(1)
+    head = line('<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="directed">')
+    lines = head.unionByName(graphml_lines(nodes, edges)).unionByName(line("</graph>", "</graphml>"))
+    lines.write.mode("overwrite").text(path)
 
 
 def write_snippets(df: DataFrame, key: str, text: str, path: str) -> None:
-    """One folder per row key with the row's text, written by the tasks."""
-    out = df.select(slugify(F.col(key).cast("string")).alias("slug"), F.col(text).alias("value"))
-    out.write.mode("overwrite").partitionBy("slug").text(path)
+    """The rows' texts as JSON lines with their key, in one folder per first letters of the slug and a hash of the key.
+
+    The key itself is written, so two keys with one slug stay apart; the number of folders does not grow with the rows.
+    """
+    slug = slugify(F.col(key).cast("string"))
+    folder = F.concat(F.substring(slug, 1, 1), F.lit("-"), F.lower(F.hex(F.pmod(F.xxhash64(key), F.lit(16)))))
+    out = df.select(folder.alias("folder"), F.col(key).alias("key"), slug.alias("slug"), F.col(text).alias("text"))
+    out.write.mode("overwrite").partitionBy("folder").json(path)
 
 
 def check_outputs(frames: Mapping[str, DataFrame], minimum_rows: Mapping[str, int]) -> list[tuple[str, bool, int]]:
