@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from valograph import constants as C
 from valograph.operators.relational import semi_both_ends
-from valograph.session import bucketed, materialise
+from valograph.session import bucketed_tables, materialise
 
 
 EDGES_PER_SALT = 100_000
 
 
-def _adjacency(edges: DataFrame, ids: DataFrame, source: str, target: str, weights: Mapping[str, str | None]) -> tuple[DataFrame, DataFrame]:
-    """Normalised edges between known nodes and, per source, into how many parts its edges are split.
+def _adjacency(write, edges: DataFrame, ids: DataFrame, source: str, target: str, weights: Mapping[str, str | None]) -> DataFrame:
+    """Normalised edges between known nodes, written once by (source, salt).
 
     Parallel edges are summed per (source, target) first and then divided by the source's sum; a variant without a
     weight column keeps 1 per edge and is not divided. A source with very many edges gets several salts, so that
@@ -30,19 +30,25 @@ def _adjacency(edges: DataFrame, ids: DataFrame, source: str, target: str, weigh
     def weight(column: str | None):
         return F.lit(1.0) if column is None else F.coalesce(F.col(column).cast("double"), F.lit(0.0))
 
-    summed = edges.groupBy(F.col(source).alias("_s"), F.col(target).alias("_t")).agg(
+    summed = materialise(edges.groupBy(F.col(source).alias("_s"), F.col(target).alias("_t")).agg(
         *[F.sum(weight(c)).alias(v) for v, c in weights.items()]
-    )
+    ))
     weighted = [v for v, c in weights.items() if c is not None]
-    sums = summed.groupBy("_s").agg(F.count(F.lit(1)).alias("_degree"), *[F.sum(v).alias(f"_sum_{v}") for v in weighted])
+    # Written, so that the join below stands on plain shuffles and adaptive execution can split a source of many edges.
+    sums = materialise(summed.groupBy("_s").agg(F.count(F.lit(1)).alias("_degree"), *[F.sum(v).alias(f"_sum_{v}") for v in weighted]))
     parts = F.ceil(F.col("_degree") / EDGES_PER_SALT).cast("int")
     share = {v: F.when(F.col(f"_sum_{v}") > 0, F.col(v) / F.col(f"_sum_{v}")).otherwise(F.lit(0.0)) for v in weighted}
     salted = summed.join(sums, "_s").withColumns({**share, "_salt": F.pmod(F.hash("_t"), parts)})
     adjacency = salted.select("_s", "_salt", "_t", *weights)
     known = ids.select("_id")
-    adjacency = adjacency.join(known, adjacency["_s"] == known["_id"], "left_semi")
     adjacency = adjacency.join(known, adjacency["_t"] == known["_id"], "left_semi")
-    return bucketed(adjacency, ["_s", "_salt"]), sums.select(F.col("_s").alias("_id"), parts.alias("_parts"))
+    adjacency = adjacency.join(known, adjacency["_s"] == known["_id"], "left_semi")
+    return write(adjacency, ["_s", "_salt"])
+
+
+def _parts(adjacency: DataFrame) -> DataFrame:
+    """Over how many salts each source's edges lie."""
+    return adjacency.groupBy(F.col("_s").alias("_id")).agg((F.max("_salt") + 1).alias("_parts"))
 
 
 def _spread(scores: DataFrame) -> DataFrame:
@@ -72,36 +78,37 @@ def weighted_pagerank(
     """
     variants = list(weights)
     plain = materialise(nodes.select(F.col(node_id).alias("_id"), F.coalesce(F.col(base).cast("double"), F.lit(0.0)).alias("_base")))
-    adjacency, parts = _adjacency(edges, plain, source, target, weights)
-    ids = bucketed(plain.join(parts, "_id", "left").fillna(0, ["_parts"]), ["_id"])
-
-    scores = ids.select("_id", "_parts", *[F.col("_base").alias(v) for v in variants])
-    done = 0
-    while done < max_rounds:
-        steps = min(rounds_per_write, max_rounds - done)
-        for step in range(steps):
-            sender = _spread(scores)
-            passed = adjacency.join(sender, (adjacency["_s"] == sender["_id"]) & (adjacency["_salt"] == sender["_salt"])).select(
-                "_t", *[(adjacency[v] * sender[v]).alias(v) for v in variants]
-            )
-            sums = passed.groupBy("_t").agg(*[F.sum(v).alias(v) for v in variants])
-            stepped = ids.join(sums, ids["_id"] == sums["_t"], "left").select(
-                ids["_id"],
-                ids["_parts"],
-                *[((1.0 - damping) * ids["_base"] + damping * F.coalesce(sums[v], F.lit(0.0))).alias(v) for v in variants],
-            )
-            if tolerance is not None and step == steps - 1:
-                before = materialise(scores) if steps > 1 else scores
-                old = before.select(F.col("_id").alias("_old"), *[F.col(v).alias(f"_old_{v}") for v in variants])
-                moved = F.greatest(F.lit(0.0), *[F.abs(F.col(v) - F.col(f"_old_{v}")) for v in variants])
-                stepped = stepped.join(old, stepped["_id"] == old["_old"]).select("_id", "_parts", *variants, moved.alias("_moved"))
-            scores = stepped
-        scores = materialise(scores)
-        done += steps
-        if tolerance is not None:
-            largest = scores.agg(F.max("_moved")).first()[0]
-            if largest is None or largest < tolerance:
-                break
+    with bucketed_tables(nodes.sparkSession) as write:
+        adjacency = _adjacency(write, edges, plain, source, target, weights)
+        ids = write(plain.join(_parts(adjacency), "_id", "left").fillna(0, ["_parts"]), ["_id"])
+
+        scores = ids.select("_id", "_parts", *[F.col("_base").alias(v) for v in variants])
+        done = 0
+        while done < max_rounds:
+            steps = min(rounds_per_write, max_rounds - done)
+            for step in range(steps):
+                sender = _spread(scores)
+                passed = adjacency.join(sender, (adjacency["_s"] == sender["_id"]) & (adjacency["_salt"] == sender["_salt"])).select(
+                    "_t", *[(adjacency[v] * sender[v]).alias(v) for v in variants]
+                )
+                sums = passed.groupBy("_t").agg(*[F.sum(v).alias(v) for v in variants])
+                stepped = ids.join(sums, ids["_id"] == sums["_t"], "left").select(
+                    ids["_id"],
+                    ids["_parts"],
+                    *[((1.0 - damping) * ids["_base"] + damping * F.coalesce(sums[v], F.lit(0.0))).alias(v) for v in variants],
+                )
+                if tolerance is not None and step == steps - 1:
+                    before = materialise(scores) if steps > 1 else scores
+                    old = before.select(F.col("_id").alias("_old"), *[F.col(v).alias(f"_old_{v}") for v in variants])
+                    moved = F.greatest(F.lit(0.0), *[F.abs(F.col(v) - F.col(f"_old_{v}")) for v in variants])
+                    stepped = stepped.join(old, stepped["_id"] == old["_old"]).select("_id", "_parts", *variants, moved.alias("_moved"))
+                scores = stepped
+            scores = materialise(scores)
+            done += steps
+            if tolerance is not None:
+                largest = scores.agg(F.max("_moved")).first()[0]
+                if largest is None or largest < tolerance:
+                    break
     return scores.select(F.col("_id").alias(node_id), *variants)
 
 
@@ -127,26 +134,26 @@ def standard_pagerank(
     count = ids.count()
     known = semi_both_ends(edges, ids, "_id", source, target)
     single = known.groupBy(source, target).agg((F.max(weight) if weight else F.lit(1.0)).alias("_w"))
-    adjacency, _ = _adjacency(single, ids, source, target, {"_w": "_w"})
-    parts = adjacency.where("_w > 0").groupBy(F.col("_s").alias("_id")).agg((F.max("_salt") + 1).alias("_parts"))
-    start = ids.join(parts, "_id", "left").fillna(0, ["_parts"])
-
-    scores = bucketed(start, ["_id"]).withColumn("_score", F.lit(1.0 / count))
-    for _ in range(max_rounds):
-        loose = scores.agg(F.sum(F.when(F.col("_parts") == 0, F.col("_score")))).first()[0] or 0.0
-        sender = _spread(scores)
-        passed = adjacency.join(sender, (adjacency["_s"] == sender["_id"]) & (adjacency["_salt"] == sender["_salt"]))
-        sums = passed.groupBy("_t").agg(F.sum(F.col("_w") * F.col("_score")).alias("_p"))
-        rest = (1.0 - damping) / count + damping * loose / count
-        stepped = scores.join(sums, scores["_id"] == sums["_t"], "left").select(
-            "_id",
-            "_parts",
-            (F.lit(rest) + damping * F.coalesce("_p", F.lit(0.0))).alias("_score"),
-            F.col("_score").alias("_old"),
-        )
-        scores = materialise(stepped)
-        if tolerance is not None:
-            change = scores.agg(F.sum(F.abs(F.col("_score") - F.col("_old")))).first()[0]
-            if change < tolerance * count:
-                break
+    with bucketed_tables(nodes.sparkSession) as write:
+        adjacency = _adjacency(write, single, ids, source, target, {"_w": "_w"})
+        start = ids.join(_parts(adjacency.where("_w > 0")), "_id", "left").fillna(0, ["_parts"])
+
+        scores = write(start, ["_id"]).withColumn("_score", F.lit(1.0 / count))
+        for _ in range(max_rounds):
+            loose = scores.agg(F.sum(F.when(F.col("_parts") == 0, F.col("_score")))).first()[0] or 0.0
+            sender = _spread(scores)
+            passed = adjacency.join(sender, (adjacency["_s"] == sender["_id"]) & (adjacency["_salt"] == sender["_salt"]))
+            sums = passed.groupBy("_t").agg(F.sum(F.col("_w") * F.col("_score")).alias("_p"))
+            rest = (1.0 - damping) / count + damping * loose / count
+            stepped = scores.join(sums, scores["_id"] == sums["_t"], "left").select(
+                "_id",
+                "_parts",
+                (F.lit(rest) + damping * F.coalesce("_p", F.lit(0.0))).alias("_score"),
+                F.col("_score").alias("_old"),
+            )
+            scores = materialise(stepped)
+            if tolerance is not None:
+                change = scores.agg(F.sum(F.abs(F.col("_score") - F.col("_old")))).first()[0]
+                if change < tolerance * count:
+                    break
     return scores.select(F.col("_id").alias(node_id), F.col("_score").alias(out))
