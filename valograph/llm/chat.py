@@ -28,7 +28,7 @@ INSERT, RELABEL, NAME, MERGE, MERGE_OTHER = 5, 3, 1, 1, 4
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 STRETCH, STRETCH_BYTES = 10_000, 4_000_000  # turns and text in a stretch, at most (one turn at least)
 FAR = 10**12
-_STRETCHES = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("nth", pa.int32()), ("roles", pa.list_(pa.int8())), ("texts", pa.list_(pa.string())), ("costs", pa.list_(pa.int64()))])
+_STRETCHES = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("nth", pa.int32()), ("roles", pa.list_(pa.int8())), ("texts", pa.list_(pa.string())), ("costs", pa.list_(pa.int64())), ("turns", pa.int64()), ("held", pa.int64()), ("tail", pa.int64())])
 _STATES = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("number", pa.int32()), ("entry", pa.int8()), ("leave", pa.int8())])
 _OUT = pa.schema([("conv_id", pa.int64()), ("stretch", pa.int32()), ("n_turns", pa.int64()), ("n_merged", pa.int64()), ("n_relabelled", pa.int64()), ("n_inserted", pa.int64()), ("cost", pa.int64()), ("rendered", pa.string())])
 
@@ -123,7 +123,7 @@ def _stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close():
         nonlocal roles, texts, held, nth, size
-        out.append((conv, part, nth, roles, texts, matrix(roles).ravel().tolist()))
+        out.append((conv, part, nth, roles, texts, matrix(roles).ravel().tolist(), len(roles), held, len(texts[-1] or "")))
         size += held + 100
         roles, texts, held, nth = [], [], 0, nth + 1
 
@@ -191,11 +191,20 @@ def formatted(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", ro
     # Ranges of (conversation, turn, ...): a hot conversation is spread over tasks and stays in order.
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     stretches = written(dealt.mapInArrow(_stretch, from_arrow_schema(_STRETCHES)), "stretches")
-    several = stretches.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("part", "nth")).alias("end")).where("n > 1")
-    long = several.select(F.col("conv_id").alias("_c"), "end")
+    at = F.struct("part", "nth")
+    several = stretches.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("end"), F.sum("turns").alias("turns"), (F.sum("held") - F.max_by("tail", at)).alias("held")).where("n > 1")
+    several = written(several.withColumn("fits", (F.col("turns") <= STRETCH) & (F.col("held") < STRETCH_BYTES)), "several")
+    # A conversation that would be one stretch but meets a partition border is put together again: one per border at most.
+    fits = F.broadcast(several.where("fits").select(F.col("conv_id").alias("_c")))
+    cut = F.col("conv_id").eqNullSafe(F.col("_c"))
+    pieces = stretches.join(fits, cut).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "nth", "roles", "texts"))).alias("p"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("number", "int"), ("entry", "tinyint"), ("leave", "tinyint"))]
+    again = pieces.select("conv_id", F.flatten("p.roles").alias("roles"), F.flatten("p.texts").alias("texts"), *none, F.lit(True).alias("final"))
+    stretches = stretches.join(fits, cut, "left_anti")
+    long = several.where(~F.col("fits")).select(F.col("conv_id").alias("_c"), "end")
     split = stretches.select("conv_id", "part", "nth", "costs").join(long.select("_c"), F.col("conv_id").eqNullSafe(F.col("_c")))
     states = split.select("conv_id", "part", "nth", "costs").groupBy("conv_id").applyInArrow(_between, from_arrow_schema(_STATES))
-    joined = stretches.drop("costs").join(states, ["part", "nth"], "left")
+    joined = stretches.drop("costs", "turns", "held", "tail").join(states, ["part", "nth"], "left")
     ends = long.select(F.col("end.part").alias("part"), F.col("end.nth").alias("nth"), F.lit(True).alias("last"))
     joined = joined.join(ends, ["part", "nth"], "left").withColumn("final", F.col("number").isNull() | F.coalesce("last", F.lit(False)))
-    return joined.drop("last", "part", "nth").mapInArrow(_render, from_arrow_schema(_OUT))
+    return joined.drop("last", "part", "nth").unionByName(again).mapInArrow(_render, from_arrow_schema(_OUT))
