@@ -34,7 +34,7 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 2,048 tokens."""
-    cut = pieces(documents(spark, folder), public_path("byte_bpe_50k.json"))
+    cut = pieces(documents(spark, folder), public_path("byte_bpe_50k.json"), special=True)
     digests = written(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packed(digests).select("doc_id", F.col("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -68,7 +68,7 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as they come back from the token files written for them."""
-    manifest = write_tokens(documents(spark, folder), public_path("word_bpe_49k.json"))
+    manifest = write_tokens(documents(spark, folder), public_path("word_bpe_49k.json"), special=True)
     return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

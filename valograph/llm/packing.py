@@ -23,7 +23,7 @@ CAPACITY = 2048
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("_task", pa.int32()), ("_nth", pa.int64())])
 
 
-def _cut(path: str, end: int, capacity: int):
+def _cut(path: str, end: int, capacity: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -32,7 +32,7 @@ def _cut(path: str, end: int, capacity: int):
         for whole in batches:
             for batch in text_slices(whole):
                 out = {f.name: [] for f in _PIECES}
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, True).encode(batch.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path, True, special).encode(batch.column("text").to_pylist()), strict=True):
                     ids += last
                     total = len(ids) // 4
                     start, piece = 0, 0
@@ -47,15 +47,16 @@ def _cut(path: str, end: int, capacity: int):
     return run
 
 
-def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", end: int = 0, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """The ids of each text with the ``end`` id after it, cut into pieces of at most ``capacity``.
 
     Only longer texts are cut; all pieces but the first are full. Columns: ``doc_id, piece, start, length, ids`` (binary,
     little-endian unsigned 32-bit), and the task and the rank within task and length that :func:`packed` numbers by. A
-    null text is empty and gives one piece with the end id. Write the rows once before packing them.
+    null text is empty and gives one piece with the end id. Write the rows once before packing them. ``special`` gives
+    strings of special tokens in a text those tokens' ids.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_cut(vocabulary, end, capacity), from_arrow_schema(_PIECES))
+    return rows.mapInArrow(_cut(vocabulary, end, capacity, special), from_arrow_schema(_PIECES))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

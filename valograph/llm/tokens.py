@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Chunks a worker remembers between tasks; when full it starts anew. Bounds memory, has no effect on results.
@@ -20,10 +22,11 @@ class Encoder:
     The tokenizers split a text at white space before they merge, so the chunks between are encoded on their own and
     their ids put together again; this equals encoding the whole text. ``spaced`` tells that a word keeps the one space
     before it (byte-level vocabularies); otherwise white space is dropped and letters are lower-cased by the tokenizer.
-    Strings of special tokens in a text are ordinary text.
+    With ``special``, strings of special tokens in a text get those tokens' ids, as by the library's default; they are
+    split off first, since the library encodes what stands between them on its own. Otherwise they are ordinary text.
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -31,9 +34,25 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.spaced = spaced
-        self.known: dict = {}
+        own = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special} if special else {}
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in own.values()):
+            raise ValueError("special tokens that depend on the text around them cannot be split off")
+        self.ids = {(name,): np.array([i], "<u4").tobytes() for name, (i, _) in own.items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")") if own else None
+        self.known: dict = dict(self.ids)
 
     def chunks(self, text: str) -> list:
+        if self.marks is None or not self.marks.search(text):
+            return self.plain_chunks(text)
+        out = []
+        for k, part in enumerate(self.marks.split(text)):
+            if k % 2:
+                out.append((part,))
+            elif part:
+                out += self.plain_chunks(part)
+        return out
+
+    def plain_chunks(self, text: str) -> list:
         if not self.spaced:
             return text.encode("utf-8", "replace").lower().split()  # bytes.lower() changes A-Z only
         parts = text.split(" ")
@@ -53,7 +72,8 @@ class Encoder:
         if new:
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = list({c for chunks in split for c in chunks})
+                known.update(self.ids)
+                new = list({c for chunks in split for c in chunks if c not in known})
             for i in range(0, len(new), 50_000):
                 some = new[i : i + 50_000]
                 plain = some if self.spaced else [c.decode("utf-8", "replace") for c in some]
@@ -63,14 +83,14 @@ class Encoder:
         return [b"".join(map(look, chunks)) for chunks in split]
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, special: bool = False) -> Encoder:
     """The worker's encoder for a vocabulary file, kept from task to task."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core per task
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    if (path, spaced, special) not in _ENCODERS:
+        _ENCODERS[path, spaced, special] = Encoder(path, spaced, special)
+    return _ENCODERS[path, spaced, special]
