@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from valograph.llm import oracles
 from valograph.llm.chat import formatted
 from valograph.llm.decontam import contaminated
+from valograph.llm.divergence import divergence
 from valograph.llm.html import main_text
+from valograph.llm.lines import without_repeated_lines
 from valograph.llm.lm import scored
 from valograph.llm.packing import packed, pieces
 from valograph.llm.quality import BASE, judged
+from valograph.llm.search import ranked
 from valograph.llm.shared import documents, written
 from valograph.llm.simhash import hexadecimal, near_duplicates
 from valograph.llm.substring import repeats
@@ -78,8 +82,27 @@ def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return scored(documents(spark, folder)).select(*columns)
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of each language differ in their terms, and the terms each uses more than its language."""
+    return divergence(documents(spark, folder))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every test item."""
+    return ranked(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the lines that one with a smaller id holds."""
+    kept = without_repeated_lines(documents(spark, folder).select("doc_id", "text"))
+    return kept.select("own.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_id_output": op10_token_id_output,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_line_dedup": op13_line_dedup,
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -90,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_source_divergence": oracles.DIVERGENCE, "op12_ranked_search": oracles.SEARCH, "op13_line_dedup": oracles.LINES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
