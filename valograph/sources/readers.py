@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from valograph.functions.scalars import clean_id
+from valograph.operators.filematch import contained_pairs
 from valograph.operators.relational import best_per_key
-from valograph.session import ensure_checkpoint_dir
+from valograph.session import ensure_checkpoint_dir, materialise
 
 FALLBACK_ENCODING = "gb18030"  # also reads gbk
 
@@ -101,36 +102,28 @@ def audit_files(spark: SparkSession, roots: Sequence[str], wanted: Sequence[str]
 def bind_files(files: DataFrame, papers: DataFrame, id_pattern: str) -> DataFrame:
     """Papers with the file that belongs to them: by id in the name, else by equal title, else by title containment.
 
-    Files are folded to one per id and one per title key before they are joined. For containment every substring of
-    the longer key meets the shorter key in an equi-join; keys are short, and no pairs are compared.
+    Files are folded to one per id and one per title key before they are joined. Containment, in either direction, goes
+    through the rarest gram of the shorter key (``contained_pairs``); rows grow with the length of the keys.
     """
     solid = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "")
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
     named = files.select("file_name", F.nullif(F.regexp_extract(stem, id_pattern, 1), F.lit("")).alias("id"), solid(stem).alias("key"))
     first = lambda df, c: df.groupBy(c).agg(F.min("file_name").alias("file_name"))
-    ids, keys = first(named.where("id is not null"), "id"), first(named.where("key <> ''"), "key")
+    ids, keys = first(named.where("id is not null"), "id"), materialise(first(named.where("key <> ''"), "key"))
     wanted = papers.select("paper_id", solid(F.col("title")).alias("pkey"))
 
     by_id = wanted.join(ids, wanted["paper_id"] == ids["id"]).select("paper_id", "file_name", F.lit(1).alias("step"))
     by_title = wanted.where("pkey <> ''").join(keys, F.col("pkey") == F.col("key")).select("paper_id", "file_name", F.lit(2).alias("step"))
     exact = by_id.unionByName(by_title)
     open_keys = wanted.join(exact.select("paper_id"), "paper_id", "left_anti").where("pkey <> ''")
-    titles = open_keys.select("pkey").distinct()
-    in_file = keys.select(_substrings("key").alias("pkey"), "file_name").join(titles, "pkey")
-    in_title = titles.select("pkey", _substrings("pkey").alias("key")).join(keys, "key").select("pkey", "file_name")
-    contained = first(in_file.select("pkey", "file_name").unionByName(in_title), "pkey")
+    titles = materialise(open_keys.select("pkey").distinct())
+    in_file, in_title = contained_pairs(titles, keys, "pkey", "key"), contained_pairs(keys, titles, "key", "pkey")
+    contained = first(in_file.select("pkey", "file_name").unionByName(in_title.select("pkey", "file_name")), "pkey")
     by_part = open_keys.join(contained, "pkey").select("paper_id", "file_name", F.lit(3).alias("step"))
     best = best_per_key(exact.unionByName(by_part), ["paper_id"], [F.asc("step"), F.asc("file_name")])
     return papers.join(best, "paper_id", "left")
 
 
-def _substrings(column: str) -> Column:
-    length = F.length(column)
-    starts = F.sequence(F.lit(1), length)
-    cut = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), length - i + 1), lambda n: F.substring(F.col(column), i, n)))
-    return F.explode(F.array_distinct(F.flatten(cut)))
-
-
 def authorships_from_payload(payload: Column | str) -> Column:
     """JSON text of one work to a struct with its authorships."""
     return F.from_json(payload, AUTHORSHIP_PAYLOAD)

@@ -10,6 +10,7 @@ from valograph.functions import text as T
 from valograph.operators import alignment as A
 from valograph.operators import relational as R
 from valograph.operators import sampling as P
+from valograph.operators.filematch import fuzzy_file_matches
 from valograph.operators.reliability import filled
 from valograph.operators.scoring import rule_scores, score_incrementally, with_quality
 from valograph.operators.similarity import character_similarity, word_similarity
@@ -436,6 +437,38 @@ def file_binding(spark, d):
     return bind_files(by_id.unionByName(by_title), parts, r"(W\d{6,})").select("paper_id", "file_name", "step")
 
 
+# The ratio sums the longest common block of two strings and, in turn, those left and right of it.
+_RATIO_CTES = {
+    "equal_at": """SELECT title, name, i, j, len(list_filter(range(1, (least(length(title) - i, length(name) - j) + 2)::INT), lambda k: substr(title, i::INT, k::INT) = substr(name, j::INT, k::INT))) AS k
+      FROM (SELECT title, name, i, unnest(range(1, length(name) + 1)) AS j FROM (SELECT title, name, unnest(range(1, length(title) + 1)) AS i FROM titles CROSS JOIN names))
+      WHERE substr(title, i::INT, 1) = substr(name, j::INT, 1)""",
+    "pieces": """SELECT title, name, 1::BIGINT AS a, length(title) + 1 AS z, 1::BIGINT AS b, length(name) + 1 AS y, 0::BIGINT AS k FROM titles CROSS JOIN names
+      UNION ALL SELECT title, name, if(side = 0, a, m.i + m.k), if(side = 0, m.i, z), if(side = 0, b, m.j + m.k), if(side = 0, m.j, y), if(side = 0, m.k, 0) FROM (
+        SELECT p.title, p.name, p.a, p.z, p.b, p.y, max({'k': least(e.k, p.z - e.i, p.y - e.j), 'ni': -e.i, 'nj': -e.j, 'i': e.i, 'j': e.j}) AS m
+        FROM pieces p JOIN equal_at e ON e.title = p.title AND e.name = p.name AND e.i >= p.a AND e.i < p.z AND e.j >= p.b AND e.j < p.y GROUP BY ALL) CROSS JOIN (VALUES (0), (1)) s(side)""",
+    "matched": """SELECT title, name, 2.0::DOUBLE * sum(k)::DOUBLE / (length(title) + length(name)) + if(contains(name, title), 0.25, 0.0)::DOUBLE AS score FROM pieces GROUP BY title, name""",
+    "bound": """SELECT title, file_name, score FROM matched JOIN names USING (name) WHERE score >= 0.55
+      QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, file_name) = 1""",
+}
+
+
+@query("file_fuzzy_match", """WITH RECURSIVE parts AS (SELECT p_partkey AS paper_id, p_name AS title FROM part),
+  stems AS (SELECT DISTINCT p_brand || '-' || replace(CASE WHEN p_size > 25 THEN replace(p_name, 'i', 'y') ELSE p_name END, ' ', '_') AS stem FROM part),
+  files AS (SELECT stem || '.pdf' AS file_name FROM stems UNION SELECT 'Source_' || s_suppkey || '.pdf' FROM supplier),
+  names AS (SELECT min(file_name) AS file_name, name FROM (SELECT file_name, trim(regexp_replace(lower(regexp_replace(file_name, '\\.[^.]*$', '')), '[^a-z0-9]+', ' ', 'g')) AS name FROM files) WHERE name <> '' GROUP BY name),
+  opened AS (SELECT paper_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title FROM parts WHERE 'Source_' || paper_id || '.pdf' NOT IN (SELECT file_name FROM files)),
+  titles AS (SELECT DISTINCT title FROM opened WHERE title <> ''), """ + ", ".join(f"{k} AS ({v})" for k, v in _RATIO_CTES.items()) + """
+  SELECT paper_id, coalesce(f.file_name, b.file_name) AS file_name, round(b.score, 6) AS score FROM parts p LEFT JOIN files f ON f.file_name = 'Source_' || p.paper_id || '.pdf'
+  LEFT JOIN opened USING (paper_id) LEFT JOIN bound b ON b.title = opened.title""")
+def file_fuzzy_match(spark, d):
+    parts = read_table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), "p_brand", "p_size")
+    written = F.when(F.col("p_size") > 25, F.replace(F.col("title"), F.lit("i"), F.lit("y"))).otherwise(F.col("title"))
+    stems = parts.select(F.concat("p_brand", F.lit("-"), F.replace(written, F.lit(" "), F.lit("_")), F.lit(".pdf")).alias("file_name"))
+    by_id = read_table(spark, d, "supplier").select(F.concat(F.lit("Source_"), "s_suppkey", F.lit(".pdf")).alias("file_name"))
+    out = fuzzy_file_matches(stems.unionByName(by_id).distinct(), parts.select("paper_id", "title"))
+    return out.withColumn("score", r6("score"))
+
+
 # --- samples ----------------------------------------------------------------------------------
 
 
