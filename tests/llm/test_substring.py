@@ -44,3 +44,10 @@ def test_empty_table_and_clashing_columns(spark):
     assert without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "a b", 7, "k"), (2, "a b", 8, None)], "doc_id bigint, text string, n_words int, kept_text string")
     assert {(x.doc_id, x.n_words, x.kept_text) for x in without_repeats(df).collect()} == {(1, 2, "a b"), (2, 2, "a b")}
+
+
+def test_texts_whose_polynomial_hashes_collide_are_kept_apart(spark):
+    morse = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = [" ".join(f"{'ab'[bit ^ flip]} u{i}" for i, bit in enumerate(morse)) for flip in (0, 1)]
+    plain = [" ".join("ab"[bit ^ flip] for bit in morse) for flip in (0, 1)]
+    check(spark, [(1, texts[0]), (2, texts[1]), (3, plain[0]), (4, plain[1])])

@@ -8,12 +8,13 @@ except for a few words at either end of the passage.
 
 Symbols that are the least within a span are kept as anchors; every window of ``window`` words has one that depends on
 that window alone (or an edge of a long run, or lies inside a run). An anchor is keyed by the words around it. Keys found
-in two documents show where windows can repeat, and only windows around such anchors are compared, by 128-bit names.
+in two documents show where windows can repeat, and only windows around such anchors are compared, by 128-bit hashes of their words; whole texts by SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ LOST = (RUN - 1) + sum(2**r for r in range(ROUNDS))  # words at a passage's end
 WIDEST = 2**ROUNDS  # words in a symbol
 LAST_ID = 2**63 - 1
 _NONE = np.uint64(2**64 - 1)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def inverse(a: int) -> int:
@@ -49,20 +50,20 @@ class Names:
         digest = xxhash.xxh3_64_intdigest
         self.words = np.fromiter((digest(w) for d in documents for w in d), np.uint64, total)
         self.document = np.repeat(np.arange(len(documents)), self.sizes)
-        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._sums: tuple[np.ndarray, np.ndarray] | None = None
 
-    def _prefix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        if k not in self._sums:
+    def window(self, start: np.ndarray, length: int) -> np.ndarray:
+        """Names of the ``length`` words from each start, equal for equal words wherever they stand.
+
+        Unequal words may have one name too: a name only brings out candidates.
+        """
+        if self._sums is None:
             n = len(self.words)
-            power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASES[k], np.uint64))), dtype=np.uint64)
-            back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, inverse(_BASES[k]), np.uint64))), dtype=np.uint64)
-            values = mixed(self.words + np.uint64(k + 1)) * power[:n]
-            self._sums[k] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64))), back
-        return self._sums[k]
-
-    def window(self, start: np.ndarray, length: int, k: int = 0) -> np.ndarray:
-        """Names of the ``length`` words from each start, equal for equal words wherever they stand."""
-        sums, back = self._prefix(k)
+            power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE, np.uint64))), dtype=np.uint64)
+            back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, inverse(_BASE), np.uint64))), dtype=np.uint64)
+            values = mixed(self.words + np.uint64(1)) * power[:n]
+            self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64))), back
+        sums, back = self._sums
         return mixed((sums[start + length] - sums[start]) * back[start])
 
 
@@ -192,16 +193,17 @@ def _sight(window: int):
                 found = Anchors(names, window)
                 order = np.argsort(found.owner, kind="stable")
                 sizes = np.bincount(found.owner, minlength=len(documents))
-                begins = names.starts[:-1]
+                digests = [hashlib.sha256(b" ".join(d)).digest() for d in documents]
+                whole = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 4).astype(np.int64)
                 yield batch_of(
                     _SIGHTED,
                     _id=batch.column("_id"),
                     _order=batch.column("_order"),
                     _hash=batch.column("_hash"),
                     n_words=names.sizes,
-                    kept_sha256=[hashlib.sha256(b" ".join(d)).hexdigest() for d in documents],
-                    _whole=(names.window(begins, names.sizes) ^ mixed(names.sizes.astype(np.uint64))).view(np.int64),
-                    _whole2=names.window(begins, names.sizes, 1).view(np.int64),
+                    kept_sha256=[d.hex() for d in digests],
+                    _whole=whole[:, 0],
+                    _whole2=whole[:, 1],
                     _keys=lists_of(found.key[order].view(np.int64), sizes, pa.int64()),
                     _low=lists_of(found.low[order].astype(np.int32), sizes, pa.int32()),
                     _high=lists_of(found.high[order].astype(np.int32), sizes, pa.int32()),
@@ -214,7 +216,8 @@ def _name_windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for batch in text_slices(whole_batch):
-                names = Names([words_of(x) for x in batch.column("text").to_pylist()])
+                documents = [words_of(x) for x in batch.column("text").to_pylist()]
+                names = Names(documents)
                 found = Anchors(names, window)
                 known = [{(x["low"], x["high"]) for x in spans} for spans in batch.column("_spans").to_pylist()]
                 spans = zip(found.owner.tolist(), found.low.tolist(), found.high.tolist(), strict=True)
@@ -222,13 +225,16 @@ def _name_windows(window: int):
                 owner = names.document[at]
                 sizes = np.bincount(owner, minlength=batch.num_rows)
                 starts = at - names.starts[owner]
+                name = np.empty((len(at), 2), np.int64)
+                for k, (i, j) in enumerate(zip(owner.tolist(), starts.tolist(), strict=True)):
+                    name[k] = struct.unpack(">qq", xxhash.xxh3_128_digest(b" ".join(documents[i][j : j + window])))
                 yield batch_of(
                     _WINDOWS,
                     _order=batch.column("_order"),
                     _hash=batch.column("_hash"),
                     _starts=lists_of(starts.astype(np.int32), sizes, pa.int32()),
-                    _name=lists_of(names.window(at, window).view(np.int64), sizes, pa.int64()),
-                    _name2=lists_of(names.window(at, window, 1).view(np.int64), sizes, pa.int64()),
+                    _name=lists_of(name[:, 0], sizes, pa.int64()),
+                    _name2=lists_of(name[:, 1], sizes, pa.int64()),
                 )
 
     return run
