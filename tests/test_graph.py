@@ -53,6 +53,18 @@ def test_pagerank_stops_when_settled(graph):
     assert all(got[v] == pytest.approx(want[v], abs=0.02) for v in want)
 
 
+def test_pagerank_leaps_to_the_limit_of_the_plain_rounds(spark):
+    rng = random.Random(11)
+    nodes = [(i, rng.random()) for i in range(80)]
+    edges = [(rng.randrange(80), rng.randrange(30), rng.random()) for _ in range(500)] + [(i, i + 1, 1.0) for i in range(30, 60)]
+    n, e = spark.createDataFrame(nodes, "paper_id long, base_value double"), spark.createDataFrame(edges, "source_id long, target_id long, w double")
+    got = {r[0]: r[1] for r in PR.weighted_pagerank(n, e, {"a": "w"}, tolerance=1e-12).collect()}
+    plain, grown = house(nodes, edges, True, 300), house(nodes, edges, False, 15)
+    assert all(abs(got[v] - plain[v]) < 1e-10 for v in plain)
+    got = {r[0]: r[1] for r in PR.weighted_pagerank(n, e, {"b": None}, max_rounds=15).collect()}
+    assert all(got[v] == pytest.approx(grown[v], rel=1e-9) for v in grown)
+
+
 def test_standard_pagerank_keeps_mass(graph):
     _, _, n, e = graph
     out = PR.standard_pagerank(n, e, "w", max_rounds=6)
@@ -67,6 +79,18 @@ def test_components(spark):
     assert {got[i] for i in range(21)} == {0} and {got[i] for i in (30, 31, 35)} == {30} and got[39] == 39
 
 
+def test_components_of_a_long_path_and_a_giant_one(spark):
+    rng = random.Random(3)
+    path = list(range(1000, 1600))
+    rng.shuffle(path)
+    pairs = list(zip(path, path[1:], strict=False)) + [(5000, i) for i in range(2000, 4000)] + [(4999, 3000), (7, 5000), (9000, 9001), (9001, 9000), (9002, 9002)]
+    nodes = [*range(1000, 1600), *range(2000, 4000), 4999, 5000, 7, 9000, 9001, 9002]
+    n, e = spark.createDataFrame([(i,) for i in nodes], "id long"), spark.createDataFrame([*pairs, (1000, 77), (77, 9002)], "s long, t long")
+    got = {r["id"]: r["component"] for r in weak_components(n, e, "id", "s", "t").collect()}
+    assert {got[i] for i in range(1000, 1600)} == {1000} and {got[i] for i in (*range(2000, 4000), 4999, 5000, 7)} == {7}
+    assert (got[9000], got[9001], got[9002]) == (9000, 9000, 9002) and len(got) == len(nodes)
+
+
 def test_out_weights_sum_to_one_or_zero(graph):
     *_, e = graph
     sums = normalise_out_weights(e, "source_id", "w", "share").groupBy("source_id").agg(F.sum("share").alias("s")).collect()

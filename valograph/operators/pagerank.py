@@ -1,15 +1,16 @@
 """Weighted PageRank as DataFrame iterations over a hash-partitioned adjacency table.
 
 Several weight variants run side by side as columns of one score table, so an ablation over six weightings costs
-one join and one aggregation per round. The adjacency and node tables are written once, bucketed by the keys the
-rounds join on; a round moves only scores and partially summed contributions, never edges.
+one join and one aggregation per round. The adjacency and node tables are written once, bucketed by node and salt; a
+round has one shuffle, of partially summed contributions. A node whose edges lie in several salts has a row in each of
+their buckets, and a sum goes to all of them, so that neither edges nor scores move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valograph import constants as C
@@ -20,8 +21,8 @@ from valograph.session import bucketed_tables, materialise
 EDGES_PER_SALT = 100_000
 
 
-def _adjacency(write, edges: DataFrame, ids: DataFrame, source: str, target: str, weights: Mapping[str, str | None]) -> DataFrame:
-    """Normalised edges between known nodes, written once by (source, salt).
+def _adjacency(edges: DataFrame, ids: DataFrame, source: str, target: str, weights: Mapping[str, str | None]) -> DataFrame:
+    """Normalised edges ``_s, _salt, _t`` between known nodes.
 
     Parallel edges are summed per (source, target) first and then divided by the source's sum; a variant without a
     weight column keeps 1 per edge and is not divided. A source with very many edges gets several salts, so that
@@ -42,8 +43,7 @@ def _adjacency(write, edges: DataFrame, ids: DataFrame, source: str, target: str
     adjacency = salted.select("_s", "_salt", "_t", *weights)
     known = ids.select("_id")
     adjacency = adjacency.join(known, adjacency["_t"] == known["_id"], "left_semi")
-    adjacency = adjacency.join(known, adjacency["_s"] == known["_id"], "left_semi")
-    return write(adjacency, ["_s", "_salt"])
+    return adjacency.join(known, adjacency["_s"] == known["_id"], "left_semi")
 
 
 def _parts(adjacency: DataFrame) -> DataFrame:
@@ -51,9 +51,22 @@ def _parts(adjacency: DataFrame) -> DataFrame:
     return adjacency.groupBy(F.col("_s").alias("_id")).agg((F.max("_salt") + 1).alias("_parts"))
 
 
-def _spread(scores: DataFrame) -> DataFrame:
-    """Scores of linked nodes, once per salt of the node."""
-    return scores.where("_parts > 0").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+def _salted(ids: DataFrame) -> DataFrame:
+    """A row per salt of a node's edges, one at least; every row holds the node's score."""
+    return ids.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), "_parts") - 1)))
+
+
+def _with_target_parts(adjacency: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges that know over how many salts their target's own edges lie, so that a sum reaches all of its rows."""
+    known = parts.select(F.col("_id").alias("_t"), F.col("_parts").alias("_tparts"))
+    return adjacency.join(known, "_t", "left").fillna(1, ["_tparts"])
+
+
+def _passed(adjacency: DataFrame, scores: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """Sums of ``values`` per target and salt. The join is local to the buckets; only partial sums are shuffled."""
+    met = adjacency.join(scores, (adjacency["_s"] == scores["_id"]) & (adjacency["_salt"] == scores["_salt"]))
+    to = F.explode(F.sequence(F.lit(0), F.col("_tparts") - 1)).alias("_tsalt")
+    return met.select("_t", to, *[v.alias(c) for c, v in values.items()]).groupBy("_t", "_tsalt").agg(*[F.sum(c).alias(c) for c in values])
 
 
 def weighted_pagerank(
@@ -72,44 +85,76 @@ def weighted_pagerank(
     """``score(v) = (1 - d) base(v) + d sum score(u) w(u, v)``, starting from the base values.
 
     ``weights`` maps an output column to an edge weight column, or to None for one per edge without
-    normalisation. Stops after ``max_rounds``, or once no score of any variant moved by ``tolerance`` or more in
-    the last round of a batch. Scores are not renormalised and dangling nodes hand on nothing. After every
-    ``rounds_per_write`` rounds the scores go to the checkpoint folder, which bounds the lineage.
+    normalisation. Stops after ``max_rounds``, or once no score of any variant moved by ``tolerance`` or more over
+    a batch of ``rounds_per_write`` rounds, after which the scores are written. Scores are not renormalised and dangling
+    nodes hand on nothing. With a tolerance, scores of normalised variants leap ahead after two batches along their last
+    move, by the ratio of both moves (Aitken); rounds go on from there until they are settled by the same test, so the
+    limit is the same and reached in fewer rounds. Variants without normalisation, which may have no limit, never leap.
+
+    A node without incoming edges has its base in the first round and a fixed score ever after, so what it hands on is
+    summed once per target and only nodes with incoming edges, and the edges between them, take part in the rounds.
     """
     variants = list(weights)
     plain = materialise(nodes.select(F.col(node_id).alias("_id"), F.coalesce(F.col(base).cast("double"), F.lit(0.0)).alias("_base")))
+    if max_rounds < 1:
+        return plain.select(F.col("_id").alias(node_id), *[F.col("_base").alias(v) for v in variants])
     with bucketed_tables(nodes.sparkSession) as write:
-        adjacency = _adjacency(write, edges, plain, source, target, weights)
-        ids = write(plain.join(_parts(adjacency), "_id", "left").fillna(0, ["_parts"]), ["_id"])
-
-        scores = ids.select("_id", "_parts", *[F.col("_base").alias(v) for v in variants])
-        done = 0
+        every = materialise(_adjacency(edges, plain, source, target, weights))
+        cited = materialise(every.select(F.col("_t").alias("_id")).distinct())
+        between = every.join(cited, every["_s"] == cited["_id"], "left_semi")
+        parts = materialise(_parts(between))
+        adjacency = write(_with_target_parts(between, parts), ["_s", "_salt"])
+        quiet = plain.join(cited, "_id", "left_anti")
+        fixed = every.join(quiet, every["_s"] == quiet["_id"]).groupBy(F.col("_t").alias("_id")).agg(
+            *[F.sum(F.col(v) * F.col("_base")).alias(f"_fixed_{v}") for v in variants]
+        )
+        own = plain.join(cited, "_id", "left_semi").join(fixed, "_id", "left").join(parts, "_id", "left")
+        ids = write(_salted(own.fillna(0, ["_parts", *[f"_fixed_{v}" for v in variants]])).drop("_parts"), ["_id", "_salt"])
+
+        def step(scores: DataFrame, first: bool) -> DataFrame:
+            sums = _passed(adjacency, scores, {v: adjacency[v] * scores[v] for v in variants})
+            share = 1.0 if first else 1.0 - damping  # of the quiet nodes' bases
+            new = [
+                ((1.0 - damping) * ids["_base"] + damping * (F.coalesce(sums[v], F.lit(0.0)) + share * ids[f"_fixed_{v}"])).alias(v)
+                for v in variants
+            ]
+            own_row = (ids["_id"] == sums["_t"]) & (ids["_salt"] == sums["_tsalt"])
+            return ids.join(sums, own_row, "left").select(ids["_id"], ids["_salt"], *new)
+
+        scores = ids.select("_id", "_salt", *[F.col("_base").alias(v) for v in variants])
+        done, before, gone, quicker = 0, False, None, [v for v, c in weights.items() if c is not None]
         while done < max_rounds:
-            steps = min(rounds_per_write, max_rounds - done)
-            for step in range(steps):
-                sender = _spread(scores)
-                passed = adjacency.join(sender, (adjacency["_s"] == sender["_id"]) & (adjacency["_salt"] == sender["_salt"])).select(
-                    "_t", *[(adjacency[v] * sender[v]).alias(v) for v in variants]
-                )
-                sums = passed.groupBy("_t").agg(*[F.sum(v).alias(v) for v in variants])
-                stepped = ids.join(sums, ids["_id"] == sums["_t"], "left").select(
-                    ids["_id"],
-                    ids["_parts"],
-                    *[((1.0 - damping) * ids["_base"] + damping * F.coalesce(sums[v], F.lit(0.0))).alias(v) for v in variants],
-                )
-                if tolerance is not None and step == steps - 1:
-                    before = materialise(scores) if steps > 1 else scores
-                    old = before.select(F.col("_id").alias("_old"), *[F.col(v).alias(f"_old_{v}") for v in variants])
-                    moved = F.greatest(F.lit(0.0), *[F.abs(F.col(v) - F.col(f"_old_{v}")) for v in variants])
-                    stepped = stepped.join(old, stepped["_id"] == old["_old"]).select("_id", "_parts", *variants, moved.alias("_moved"))
-                scores = stepped
-            scores = materialise(scores)
+            steps, stepped = min(rounds_per_write, max_rounds - done), scores
+            for k in range(steps):
+                stepped = step(stepped, done + k == 0)
             done += steps
-            if tolerance is not None:
-                largest = scores.agg(F.max("_moved")).first()[0]
-                if largest is None or largest < tolerance:
-                    break
-    return scores.select(F.col("_id").alias(node_id), *variants)
+            if tolerance is None:
+                scores = write(stepped, ["_id", "_salt"])
+                continue
+            moves = [F.col(f"_move_{v}") if before else F.lit(None).cast("double") for v in variants]
+            old = scores.select(
+                F.col("_id").alias("_old"), F.col("_salt").alias("_old_salt"), *[F.col(v).alias(f"_old_{v}") for v in variants],
+                *[m.alias(f"_last_{v}") for m, v in zip(moves, variants, strict=True)],
+            )
+            joined = stepped.join(old, (stepped["_id"] == old["_old"]) & (stepped["_salt"] == old["_old_salt"]))
+            move = {f"_move_{v}": F.col(v) - F.col(f"_old_{v}") for v in variants}
+            scores = write(joined.withColumns(move).drop("_old", "_old_salt", *[f"_old_{v}" for v in variants]), ["_id", "_salt"])
+            row = scores.where("_salt = 0").agg(
+                F.max(F.greatest(F.lit(0.0), *[F.abs(f"_move_{v}") for v in variants])).alias("moved"),
+                *[F.try_divide(F.sum(F.col(f"_move_{v}") * F.col(f"_last_{v}")), F.sum(F.col(f"_last_{v}") * F.col(f"_last_{v}"))).alias(v) for v in quicker],
+            ).first()
+            if row["moved"] is None or (row["moved"] < tolerance and done > 1):
+                break
+            if gone is not None and row["moved"] >= gone:
+                quicker = []  # leaping did not help here
+            leap = {v: row[v] / (1.0 - row[v]) for v in quicker if before and row[v] is not None and 0.0 < row[v] < 0.95}
+            if leap:
+                scores = scores.withColumns({v: F.col(v) + factor * F.col(f"_move_{v}") for v, factor in leap.items()})
+                gone = row["moved"]
+            before = not leap
+        rest = quiet.select("_id", *[((1.0 - damping) * F.col("_base")).alias(v) for v in variants])
+        done_scores = materialise(scores.where("_salt = 0").select("_id", *variants).unionByName(rest))
+    return done_scores.withColumnRenamed("_id", node_id)
 
 
 def standard_pagerank(
@@ -126,8 +171,8 @@ def standard_pagerank(
 ) -> DataFrame:
     """Textbook PageRank: uniform start and teleport, stochastic rows, dangling mass spread over all nodes.
 
-    Edges with an end outside the nodes are left out; parallel edges collapse to one (the largest weight is kept). Stops when the summed change is below
-    ``tolerance`` times the node count. The dangling mass of a round is one number, read back from the written
+    Edges with an end outside the nodes are left out; parallel edges collapse to one (the largest weight is kept). Stops
+    when the summed change is below ``tolerance`` times the node count. The dangling mass of a round is one number, read back from the written
     scores together with the change.
     """
     ids = materialise(nodes.select(F.col(node_id).alias("_id")).distinct())
@@ -135,25 +180,26 @@ def standard_pagerank(
     known = semi_both_ends(edges, ids, "_id", source, target)
     single = known.groupBy(source, target).agg((F.max(weight) if weight else F.lit(1.0)).alias("_w"))
     with bucketed_tables(nodes.sparkSession) as write:
-        adjacency = _adjacency(write, single, ids, source, target, {"_w": "_w"})
-        start = ids.join(_parts(adjacency.where("_w > 0")), "_id", "left").fillna(0, ["_parts"])
+        every = materialise(_adjacency(single, ids, source, target, {"_w": "_w"}).where("_w > 0"))
+        parts = materialise(_parts(every))
+        adjacency = write(_with_target_parts(every, parts), ["_s", "_salt"])
+        start = write(_salted(ids.join(parts, "_id", "left").fillna(0, ["_parts"])), ["_id", "_salt"])
 
-        scores = write(start, ["_id"]).withColumn("_score", F.lit(1.0 / count))
+        scores = start.withColumn("_score", F.lit(1.0 / count))
         for _ in range(max_rounds):
             loose = scores.agg(F.sum(F.when(F.col("_parts") == 0, F.col("_score")))).first()[0] or 0.0
-            sender = _spread(scores)
-            passed = adjacency.join(sender, (adjacency["_s"] == sender["_id"]) & (adjacency["_salt"] == sender["_salt"]))
-            sums = passed.groupBy("_t").agg(F.sum(F.col("_w") * F.col("_score")).alias("_p"))
+            sums = _passed(adjacency, scores, {"_p": F.col("_w") * F.col("_score")})
             rest = (1.0 - damping) / count + damping * loose / count
-            stepped = scores.join(sums, scores["_id"] == sums["_t"], "left").select(
+            stepped = scores.join(sums, (scores["_id"] == sums["_t"]) & (scores["_salt"] == sums["_tsalt"]), "left").select(
                 "_id",
+                scores["_salt"],
                 "_parts",
                 (F.lit(rest) + damping * F.coalesce("_p", F.lit(0.0))).alias("_score"),
                 F.col("_score").alias("_old"),
             )
             scores = materialise(stepped)
             if tolerance is not None:
-                change = scores.agg(F.sum(F.abs(F.col("_score") - F.col("_old")))).first()[0]
+                change = scores.where("_salt = 0").agg(F.sum(F.abs(F.col("_score") - F.col("_old")))).first()[0]
                 if change < tolerance * count:
                     break
-    return scores.select(F.col("_id").alias(node_id), F.col("_score").alias(out))
+    return scores.where("_salt = 0").select(F.col("_id").alias(node_id), F.col("_score").alias(out))

@@ -1,9 +1,9 @@
 """Ranks over whole tables without a global window.
 
-A window with no partition key would sort the table in one task. Here equal values are first folded into one
-row each, the folded values are cut into value ranges by approximate quantiles, each range is ranked on its
-own, and the ranges' totals (a few hundred rows) give the offsets. The result is exact: the quantiles only
-decide where the ranges are cut.
+A window with no partition key would sort the table in one task. Here the rows are dealt to tasks by ranges of the value
+(equal values folded first where they tie), each task ranks what it has, and one number per task, the rows in all tasks
+before it, is added. The cost does not depend on the number of ranges, and no group lies in one task: with ``by`` columns
+the ranges are cut over group and value together.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from valograph.session import materialise
+
 
 def range_count(df: DataFrame) -> int:
     """How many value ranges to cut: as many as the session's shuffle has partitions, so that they grow with the cluster."""
@@ -27,34 +29,32 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def _ranged(df: DataFrame, order: Sequence[Column], ranges: int | None) -> DataFrame:
+    """Rows dealt by ranges of ``order``, with the number of their range. Written, so that the ranges stay as they are."""
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return materialise(dealt.withColumn("_range", F.spark_partition_id()))
+
+
+def _rows_before(dealt: DataFrame, by: Sequence[str], rows: Column) -> DataFrame:
+    """Per range and group: how many rows of the group lie in earlier ranges. One row per range, and one more per group."""
+    totals = dealt.groupBy(*by, "_range").agg(rows.alias("_total"))
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return totals.select(*by, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+
+
 def value_ranks(
     df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = True, ranges: int | None = None
 ) -> DataFrame:
     """One row per distinct value: ``n`` rows hold it and ``ahead`` rows come before it. Null comes after all others.
 
-    Values are ordered as they are; their double value only decides into which range they fall.
+    ``ranges`` is the number of value ranges; by default the session's shuffle partitions, fewer for small tables.
     """
     by = list(by)
-    ranges = ranges or range_count(df)
-    key = -F.col(value).cast("double") if descending else F.col(value).cast("double")
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_key", key)
-
-    cuts = F.lit([i / ranges for i in range(1, ranges)])
-    # The n > 0 condition is always true; it keeps the column so that both uses of the counts share one shuffle.
-    bounds = counts.groupBy(*by).agg(
-        F.percentile_approx(F.when(F.col("n") > 0, F.col("_key")), cuts, F.lit(10 * ranges)).alias("_cuts")
-    )
-    joined = join_null_safe(counts, bounds, by) if by else counts.crossJoin(F.broadcast(bounds))
-    in_range = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
-    placed = joined.withColumn("_range", F.when(F.col("_key").isNull(), F.lit(ranges)).otherwise(in_range)).drop("_cuts")
-
-    totals = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_total"))
-    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-
     order = F.desc_nulls_last(value) if descending else F.asc_nulls_last(value)
-    inside = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    local = placed.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    counts = _ranged(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), [*[F.col(c) for c in by], order], ranges)
+    inside = W.partitionBy("_range", *by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    local = counts.withColumn("_local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    offsets = _rows_before(counts, by, F.sum("n"))
     return join_null_safe(local, offsets, [*by, "_range"]).select(*by, value, "n", (F.col("_offset") + F.col("_local")).alias("ahead"))
 
 
@@ -108,28 +108,14 @@ def with_row_number(
     descending: bool = True,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Add a gapless position ordered by ``value`` and then by the unique numeric column ``tie``.
-
-    A value shared by many rows is itself cut into ranges of ``tie``, so no task holds a whole tie group. Null values
-    come last.
-    """
+    """Add a gapless position ordered by ``value`` and then by the unique column ``tie``. Null values come last."""
     by = list(by)
-    ranges = ranges or range_count(df)
-    cuts = F.lit([i / ranges for i in range(1, ranges)])
-    tie_cuts = df.agg(F.percentile_approx(F.col(tie).cast("double"), cuts, F.lit(10 * ranges)).alias("_cuts"))
-    placed = (
-        df.crossJoin(F.broadcast(tie_cuts))
-        .withColumn("_cell", F.size(F.filter("_cuts", lambda c: c < F.col(tie).cast("double"))))
-        .drop("_cuts")
-    )
-    ranks = value_ranks(df, value, by, descending, ranges).select(*by, value, "ahead")
-    cells = placed.groupBy(*by, value, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*by, value).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    ahead_in_value = F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    offsets = join_null_safe(cells.select(*by, value, "_cell", ahead_in_value), ranks, [*by, value])
-    local = placed.withColumn("_local", F.row_number().over(W.partitionBy(*by, value, "_cell").orderBy(tie)))
-    position = (F.col("ahead") + F.col("_before") + F.col("_local")).cast("bigint").alias(out)
-    return join_null_safe(local, offsets, [*by, value, "_cell"]).select(*df.columns, position)
+    order = [F.desc_nulls_last(value) if descending else F.asc_nulls_last(value), F.asc(tie)]
+    dealt = _ranged(df, [*[F.col(c) for c in by], *order], ranges)
+    local = dealt.withColumn("_local", F.row_number().over(W.partitionBy("_range", *by).orderBy(*order)))
+    offsets = _rows_before(dealt, by, F.count(F.lit(1)))
+    position = (F.col("_offset") + F.col("_local")).cast("bigint").alias(out)
+    return join_null_safe(local, offsets, [*by, "_range"]).select(*df.columns, position)
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:

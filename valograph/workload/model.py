@@ -25,7 +25,6 @@ SECTION_TEXT = {
     "5-LOW": "Discussion",
 }
 CUTOFF = 1998
-ROUNDS = 6
 
 
 def papers(spark: SparkSession, d: str) -> DataFrame:
@@ -203,8 +202,12 @@ def sql(body: str, **ctes: str) -> str:
     return f"{SQL_MODEL}{extra}\n{body}"
 
 
-def pagerank_ctes(variants: dict[str, str | None], rounds: int = ROUNDS, nodes: str = "papers", source: str = "xedges") -> dict[str, str]:
-    """Common table expressions ending in ``pr(paper_id, <variants>)`` after a fixed number of rounds."""
+#: Far below the usual bound, so that rounded scores agree with those of another engine after all rounds.
+SETTLED = 1e-12
+
+
+def pagerank_ctes(variants: dict[str, str | None], nodes: str = "papers", source: str = "xedges") -> dict[str, str]:
+    """Common table expressions ending in ``pr(paper_id, <variants>)`` after the largest number of rounds."""
     variants = {f'"{v}"': w for v, w in variants.items()}
     sums = ", ".join(f"sum({w or '1.0'})::DOUBLE AS {v}" for v, w in variants.items())
     shares = ", ".join(
@@ -223,6 +226,6 @@ def pagerank_ctes(variants: dict[str, str | None], rounds: int = ROUNDS, nodes:
           UNION ALL SELECT i + 1, paper_id, {total} FROM (
             SELECT r.i, n.paper_id, {own} FROM pr_loop r JOIN {nodes} n ON r.paper_id = n.paper_id
             UNION ALL SELECT r.i, k.t, {got} FROM pr_loop r JOIN pr_adj k ON r.paper_id = k.s)
-          WHERE i < {rounds} GROUP BY i, paper_id""",
-        "pr": f"SELECT paper_id, {names} FROM pr_loop WHERE i = {rounds}",
+          WHERE i < {C.MAX_ROUNDS} GROUP BY i, paper_id""",
+        "pr": f"SELECT paper_id, {names} FROM pr_loop WHERE i = {C.MAX_ROUNDS}",
     }

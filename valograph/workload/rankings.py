@@ -17,9 +17,9 @@ from valograph.operators.similarity import character_similarity, word_similarity
 from valograph.plans import rankings as P
 from valograph.sources.readers import read_table
 from valograph.workload import model as M
-from valograph.workload.model import ROUNDS, pagerank_ctes, sql
+from valograph.workload.model import pagerank_ctes, sql
 from valograph.workload.registry import query
-from valograph.workload.relations import _AVG_RANK, kendall_sql
+from valograph.workload.relations import _AVG_RANK, kendall_count_sql
 from valograph.workload.scalars import r6
 
 QUERY_TEXT = "red widget"
@@ -38,24 +38,18 @@ WEIGHT_SQL = {
 
 def scores(spark, d, names=tuple(WEIGHT_SQL), digits=DIGITS):
     models = {m: P.MODELS[m] for m in names}
-    return P.score_models(M.papers(spark, d), M.weighted_edges(spark, d), models, ROUNDS, None, digits)
+    return P.score_models(M.papers(spark, d), M.weighted_edges(spark, d), models, tolerance=M.SETTLED, digits=digits)
 
 
 def score_ctes(names=tuple(WEIGHT_SQL), digits=DIGITS):
-    """SQL scores: ``sc`` for all papers, ``core`` for core papers."""
+    """SQL scores of all papers as ``sc``."""
     rounded = ", ".join(f'round("{n}", {digits}) AS "{n}"' for n in names)
     return {
         **pagerank_ctes({n: WEIGHT_SQL[n] for n in names}, source="wedges"),
         "sc": f"SELECT paper_id, {rounded} FROM pr",
-        "core": "SELECT sc.* FROM sc WHERE paper_id IN (SELECT paper_id FROM papers WHERE is_core)",
     }
 
 
-def core_scores(spark, d, names=tuple(WEIGHT_SQL)):
-    core = M.papers(spark, d).where("is_core").select("paper_id")
-    return scores(spark, d, names).join(core, "paper_id", "left_semi")
-
-
 # --- graph ---------------------------------------------------------------------------------
 
 
@@ -138,60 +132,70 @@ def wcc(spark, d):
 
 @query("pagerank_weighted", sql("SELECT paper_id, round(score, 6) AS score FROM pr", **pagerank_ctes({"score": "q_ij"}, source="sem")))
 def pagerank_weighted(spark, d):
-    out = weighted_pagerank(M.papers(spark, d), M.semantic_edges(spark, d), {"score": "q_ij"}, max_rounds=ROUNDS, tolerance=None)
+    out = weighted_pagerank(M.papers(spark, d), M.semantic_edges(spark, d), {"score": "q_ij"}, tolerance=M.SETTLED)
     return out.withColumn("score", r6("score"))
 
 
-@query("pagerank_unweighted", sql("SELECT paper_id, round(score, 4) AS score FROM pr", **pagerank_ctes({"score": None}, source="edges")))
+@query("pagerank_unweighted", sql("""SELECT paper_id, CAST(coalesce(p, 0) AS BIGINT) AS power, round(coalesce(score / pow(10.0, p), 0.0), 6) AS leading
+  FROM (SELECT *, floor(log10(nullif(score, 0.0))) AS p FROM pr)""", **pagerank_ctes({"score": None}, source="edges")))
 def pagerank_unweighted(spark, d):
-    out = weighted_pagerank(M.papers(spark, d), M.edges(spark, d), {"score": None}, max_rounds=ROUNDS, tolerance=None)
-    return out.withColumn("score", F.round("score", 4))
+    """Scores as power of ten and leading digits: without normalisation they grow on every cycle, up to the last round."""
+    out = weighted_pagerank(M.papers(spark, d), M.edges(spark, d), {"score": None})
+    power = F.floor(F.log10(F.nullif("score", F.lit(0.0))))
+    return out.select(
+        "paper_id", F.coalesce(power, F.lit(0)).cast("bigint").alias("power"), F.round(F.coalesce(F.col("score") / F.pow(F.lit(10.0), power), F.lit(0.0)), 6).alias("leading")
+    )
 
 
 @query("pagerank_converged", sql("SELECT paper_id, round(score, 6) AS score FROM pr",
-  hist=f"SELECT * FROM papers WHERE year <= {M.CUTOFF}", semh="SELECT * FROM sem WHERE source_id IN (SELECT paper_id FROM hist) AND target_id IN (SELECT paper_id FROM hist)",
-  **pagerank_ctes({"score": "q_ij"}, source="semh", nodes="hist", rounds=80)))
+  cited="SELECT target_id, count(*)::DOUBLE AS n FROM edges GROUP BY ALL",
+  counted="SELECT p.paper_id, CASE WHEN (SELECT max(n) FROM cited) > 0 THEN coalesce(c.n, 0.0) / (SELECT max(n) FROM cited) ELSE 1.0 END AS base_value FROM papers p LEFT JOIN cited c ON c.target_id = p.paper_id",
+  **pagerank_ctes({"score": "q_ij"}, source="sem", nodes="counted")))
 def pagerank_converged(spark, d):
-    """Papers and edges up to the cutoff, iterated until no score moves by 1e-8."""
-    early = M.papers(spark, d).where(F.col("year") <= M.CUTOFF)
-    history = R.semi_both_ends(M.semantic_edges(spark, d), early, "paper_id", "source_id", "target_id")
-    out = weighted_pagerank(early, history, {"score": "q_ij"}, tolerance=1e-8, rounds_per_write=8)
-    return out.withColumn("score", r6("score"))
+    """All papers and edges, the base taken from citations within the graph, as a share of the most cited paper's."""
+    counted = G.degrees(M.papers(spark, d).select("paper_id"), M.edges(spark, d), "paper_id", "source_id", "target_id")
+    most = counted.agg(F.max("in_degree").cast("double").alias("most"))
+    base = F.when(F.col("most") > 0, F.col("in_degree") / F.col("most")).otherwise(F.lit(1.0))
+    papers = R.with_scalars(counted, most).select("paper_id", base.alias("base_value"))
+    return weighted_pagerank(papers, M.semantic_edges(spark, d), {"score": "q_ij"}, tolerance=M.SETTLED).withColumn("score", r6("score"))
 
 
-@query("pagerank_standard", sql("SELECT paper_id, round(score * n, 6) AS scaled FROM sp CROSS JOIN (SELECT count(*) AS n FROM papers) WHERE i = 6",
+@query("pagerank_standard", sql("SELECT paper_id, round(score * n, 6) AS scaled FROM sp WHERE i = (SELECT max(i) FROM sp)",
   st="SELECT s, t, w / sum(w) OVER (PARTITION BY s) AS w FROM (SELECT source_id AS s, target_id AS t, max(q_ij) AS w FROM sem GROUP BY ALL) WHERE w > 0",
   nn="SELECT paper_id, (SELECT count(*) FROM papers)::DOUBLE AS n, paper_id NOT IN (SELECT s FROM st) AS loose FROM papers",
-  sp="""SELECT 0 AS i, paper_id, 1.0::DOUBLE / n AS score FROM nn UNION ALL SELECT i + 1, paper_id, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * (sum(v) + any_value(dm) / any_value(n)) FROM (
-    SELECT r.i, k.paper_id, k.n, 0.0::DOUBLE AS v, sum(CASE WHEN k.loose THEN r.score ELSE 0.0 END) OVER (PARTITION BY r.i) AS dm FROM sp r JOIN nn k USING (paper_id)
-    UNION ALL SELECT r.i, st.t, NULL, r.score * st.w, NULL FROM sp r JOIN st ON r.paper_id = st.s) WHERE i < 6 GROUP BY i, paper_id"""))
+  sp="""SELECT 0 AS i, paper_id, 1.0::DOUBLE / n AS score, n AS moved, n FROM nn
+    UNION ALL SELECT i + 1, paper_id, score, sum(abs(score - old)) OVER (), n FROM (
+      SELECT i, paper_id, 0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * (sum(v) + any_value(dm) / any_value(n)) AS score, any_value(old) AS old, any_value(n) AS n FROM (
+        SELECT r.i, r.moved, r.n AS size, k.paper_id, k.n, r.score AS old, 0.0::DOUBLE AS v, sum(CASE WHEN k.loose THEN r.score ELSE 0.0 END) OVER (PARTITION BY r.i) AS dm FROM sp r JOIN nn k USING (paper_id)
+        UNION ALL SELECT r.i, r.moved, r.n, st.t, NULL, NULL, r.score * st.w, NULL FROM sp r JOIN st ON r.paper_id = st.s)
+      WHERE i < 100 AND moved >= 1e-9 * size GROUP BY i, paper_id)"""))
 def pagerank_standard(spark, d):
     papers = M.papers(spark, d).select("paper_id")
-    out = standard_pagerank(papers, M.semantic_edges(spark, d), "q_ij", max_rounds=ROUNDS, tolerance=None)
+    out = standard_pagerank(papers, M.semantic_edges(spark, d), "q_ij", tolerance=1e-9)
     n = papers.agg(F.count(F.lit(1)).alias("n"))
     return R.with_scalars(out, n).select("paper_id", r6(F.col("score") * F.col("n")).alias("scaled"))
 
 
-# --- rank agreement on core papers ---------------------------------------------------------
+# --- rank agreement ---------------------------------------------------------
 
 _TWO = ("semantic", "full")
 
 
-def _topk(score: str, k: int, rows: str = "core") -> str:
+def _topk(score: str, k: int, rows: str = "sc") -> str:
     return f"(SELECT paper_id FROM {rows} ORDER BY {score} DESC, paper_id LIMIT {k})"
 
 
 @query("rank_change", sql(f"""SELECT round(corr(a, b), 6) AS spearman, round(avg(abs(a - b)), 6) AS mean_rank_change, round(max(abs(a - b)), 6) AS max_rank_change
-  FROM (SELECT {_AVG_RANK.format(c='semantic')} AS a, {_AVG_RANK.format(c='"full"')} AS b FROM core)""", **score_ctes(_TWO)))
+  FROM (SELECT {_AVG_RANK.format(c='semantic')} AS a, {_AVG_RANK.format(c='"full"')} AS b FROM sc)""", **score_ctes(_TWO)))
 def rank_change(spark, d):
-    out = K.rank_change(core_scores(spark, d, _TWO), "semantic", "full")
+    out = K.rank_change(scores(spark, d, _TWO), "semantic", "full")
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
 @query("topk_overlap", sql(f"""SELECT (SELECT count(*) FROM {_topk('semantic', 5)} JOIN {_topk('"full"', 5)} USING (paper_id)) AS top5_overlap,
   (SELECT count(*) FROM {_topk('semantic', 50)} JOIN {_topk('"full"', 50)} USING (paper_id)) AS top50_overlap""", **score_ctes(_TWO)))
 def topk_overlap(spark, d):
-    c = core_scores(spark, d, _TWO)
+    c = scores(spark, d, _TWO)
     return R.with_scalars(K.top_k_overlap(c, "semantic", "full", "paper_id", 5), K.top_k_overlap(c, "semantic", "full", "paper_id", 50))
 
 
@@ -244,7 +248,7 @@ def _compare_sql(methods: dict[str, str], reference: str, rows: str) -> tuple[st
     ctes = {
         "melted": melted,
         "ranked": f"SELECT *, {window.format(c='score')} AS a, {window.format(c='reference')} AS b, {position.format(c='score')} AS pa, {position.format(c='reference')} AS pb FROM melted",
-        "tau": kendall_sql("melted", "score", "reference", "method"),
+        "tau": kendall_count_sql("melted", "score", "reference", "method"),
     }
     body = """SELECT r.method, round(corr(a, b), 6) AS spearman, round(any_value(kendall), 6) AS kendall, count(*) FILTER (WHERE pa <= 5 AND pb <= 5) AS top5_overlap,
       count(*) FILTER (WHERE pa <= 10 AND pb <= 10) AS top10_overlap, round(avg(abs(a - b)), 6) AS mean_rank_change, round(max(abs(a - b)), 6) AS max_rank_change
@@ -257,12 +261,12 @@ def _rounded(df):
 
 
 _ABLATION = ["unweighted", "semantic", "semantic_temporal", "semantic_relation", "full"]
-_body, _ctes = _compare_sql({m: f'"{m}"' for m in _ABLATION}, '"full"', "core")
+_body, _ctes = _compare_sql({m: f'"{m}"' for m in _ABLATION}, '"full"', "sc")
 
 
 @query("ablation", sql(_body, **score_ctes(), **_ctes))
 def ablation(spark, d):
-    return _rounded(P.ablation(core_scores(spark, d), _ABLATION))
+    return _rounded(P.ablation(scores(spark, d), _ABLATION))
 
 
 @query("ablation_rankings", sql("""SELECT model, paper_id, score, rank() OVER (PARTITION BY model ORDER BY score DESC) AS rank FROM (
@@ -272,24 +276,23 @@ def ablation_rankings(spark, d):
 
 
 def _robust(name, variants, sql_variants, extended):
-    """Register a robustness query: full model against re-weighted variants on core papers."""
+    """Register a robustness query: full model against re-weighted variants on all papers."""
     names = list(sql_variants)
-    body, ctes = _compare_sql({m: m for m in names}, '"full"', "vcore")
+    body, ctes = _compare_sql({m: m for m in names}, '"full"', "varied")
     rounded = ", ".join(f'round("{n}", {DIGITS}) AS "{n}"' for n in ["full", *names])
     source = "xedges" if extended else "wedges"
     pr = pagerank_ctes({"full": "q_ij * tau * rho", **sql_variants}, source="rob")
     rob = {"rob": f"SELECT *, CASE WHEN has_score THEN q_ij / CASE WHEN sentiment >= 0 THEN (sentiment + 1.0) / 2.0 ELSE 0.01 END ELSE q_ij END AS q_neutral FROM {source}"}
-    core = {"vcore": f"SELECT paper_id, {rounded} FROM pr WHERE paper_id IN (SELECT paper_id FROM papers WHERE is_core)"}
+    varied = {"varied": f"SELECT paper_id, {rounded} FROM pr"}
 
-    @query(name, sql(body, **rob, **pr, **core, **ctes))
+    @query(name, sql(body, **rob, **pr, **varied, **ctes))
     def run(spark, d):
         e = M.weighted_edges(spark, d, extended=extended)
         neutral = F.when(F.col("has_score"), F.col("q_ij") / S.sentiment_weight("sentiment")).otherwise(F.col("q_ij"))
         e = e.withColumn("q_neutral", neutral).withColumns({f"w_{n}": w for n, w in variants().items()})
         models = {"full": "w_full", **{n: f"w_{n}" for n in names}}
-        s = P.score_models(M.papers(spark, d), e, models, ROUNDS, None, DIGITS)
-        core_ids = M.papers(spark, d).where("is_core").select("paper_id")
-        return _rounded(P.ablation(s.join(core_ids, "paper_id", "left_semi"), names))
+        s = P.score_models(M.papers(spark, d), e, models, tolerance=M.SETTLED, digits=DIGITS)
+        return _rounded(P.ablation(s, names))
 
 
 def _confident(epsilon):
@@ -327,7 +330,7 @@ _robust(
 def filtered_semantic_ranking(spark, d):
     keep = F.col("has_score") & (F.col("confidence") >= 0.5)
     e = M.weighted_edges(spark, d).withColumn("w", F.when(keep, F.col("q_ij")).otherwise(C.DEFAULT_QUALITY) * F.col("tau") * F.col("rho"))
-    s = weighted_pagerank(M.papers(spark, d), e, {"score": "w"}, max_rounds=ROUNDS, tolerance=None).withColumn("score", F.round("score", DIGITS))
+    s = weighted_pagerank(M.papers(spark, d), e, {"score": "w"}, tolerance=M.SETTLED).withColumn("score", F.round("score", DIGITS))
     return with_rank(s, "score", "score_rank").select("paper_id", "score", "score_rank")
 
 
@@ -362,7 +365,7 @@ def future_validation(spark, d):
         F.count(F.lit(1)).cast("double").alias("future_citations")
     )
     models = {n: P.MODELS[n] for n in _FUTURE}
-    return _rounded(P.validate_future(papers, e, truth, M.CUTOFF, models, 10, ROUNDS, None, DIGITS))
+    return _rounded(P.validate_future(papers, e, truth, M.CUTOFF, models, 10, tolerance=M.SETTLED, digits=DIGITS))
 
 
 @query("penalty_effect", sql("""SELECT paper_id, rb AS rank_before, ra AS rank_after, ra - rb AS rank_change, round("full" - semantic_temporal, 6) AS score_change,
@@ -377,9 +380,9 @@ def penalty_effect(spark, d):
 @query("self_cite_core_ranking", sql("""SELECT paper_id, rb AS rank_original, ra AS rank_penalized, rb - ra AS rank_change,
     round(coalesce((semantic_relation - semantic) / nullif(semantic, 0) * 100.0, 0.0), 4) AS score_change_percent, loop_edge AS has_self_loop FROM (
   SELECT *, row_number() OVER (ORDER BY semantic DESC, paper_id) AS rb, row_number() OVER (ORDER BY semantic_relation DESC, paper_id) AS ra,
-    paper_id IN (SELECT source_id FROM edges WHERE source_id = target_id) AS loop_edge FROM core)""", **score_ctes(("semantic", "semantic_relation"))))
+    paper_id IN (SELECT source_id FROM edges WHERE source_id = target_id) AS loop_edge FROM sc)""", **score_ctes(("semantic", "semantic_relation"))))
 def self_cite_core_ranking(spark, d):
-    c = core_scores(spark, d, ("semantic", "semantic_relation"))
+    c = scores(spark, d, ("semantic", "semantic_relation"))
     ranked = with_row_number(with_row_number(c, "semantic", "paper_id", "rank_original"), "semantic_relation", "paper_id", "rank_penalized")
     loops = M.edges(spark, d).where("source_id = target_id").select(F.col("source_id").alias("paper_id"), F.lit(True).alias("has_self_loop"))
     out = R.lookup(ranked, loops, ["paper_id"], {"has_self_loop": False})
@@ -420,7 +423,7 @@ def dataset_statistics(spark, d):
     return R.unpivot_metrics(row).withColumn("value", r6("value"))
 
 
-# --- prices over core papers ------------------------------------------------------------------
+# --- prices ------------------------------------------------------------------
 
 
 def similarity_ctes(rows: str, text: str, terms: str, query_terms: str, stop: str = "") -> dict[str, str]:
@@ -447,11 +450,11 @@ def char_terms_sql(rows: str) -> str:
       FROM (SELECT id, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS t FROM {rows})"""
 
 
-_TITLES = "SELECT paper_id AS id, title AS text FROM papers WHERE is_core"
+_TITLES = "SELECT paper_id AS id, title AS text FROM papers"
 _PRICED = {
     **score_ctes(("semantic", "full")),
     **similarity_ctes(_TITLES, "text", word_terms_sql("tf_rows", STOP_WORDS), "['red', 'widget', 'red widget']"),
-    "pv": """SELECT paper_id, "full", similarity, ("full" - min("full") OVER ()) / (max("full") OVER () - min("full") OVER ()) AS v FROM core JOIN sim ON sim.id = paper_id""",
+    "pv": """SELECT paper_id, "full", similarity, ("full" - min("full") OVER ()) / (max("full") OVER () - min("full") OVER ()) AS v FROM sc JOIN sim ON sim.id = paper_id""",
     "priced": f"""SELECT *, rank() OVER (PARTITION BY scenario ORDER BY price DESC) AS price_rank FROM (
       SELECT *, round(w / 2.0 * (0.3 + 0.7 * v), {DIGITS}) AS price FROM (SELECT *, alpha * v + beta * (0.2 * similarity + 0.8 * v * similarity) AS w
       FROM pv CROSS JOIN (VALUES {', '.join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE)" for n, a, b in C.PRICE_SCENARIOS)}) s(scenario, alpha, beta)))""",
@@ -459,7 +462,7 @@ _PRICED = {
 
 
 def _priced(spark, d):
-    titles = M.papers(spark, d).where("is_core").select("paper_id", "title")
+    titles = M.papers(spark, d).select("paper_id", "title")
     sim = word_similarity(titles, "paper_id", "title", QUERY_TEXT, STOP_WORDS)
     return price_scenarios(sim.join(scores(spark, d, ("semantic", "full")), "paper_id"), "full", "similarity", digits=DIGITS)
 
@@ -485,12 +488,12 @@ def scenario_top5(spark, d):
 
 
 @query("price_penalty_change", sql("""SELECT paper_id, round(a + 10.0 * similarity, 9) AS wtp_old, round(b + 10.0 * similarity, 9) AS wtp_new, round((b - a) / 2.0, 9) AS price_change,
-    coalesce(n, 0) AS self_citation_edges FROM (SELECT paper_id, similarity, semantic AS a, semantic_relation AS b FROM core JOIN sim ON sim.id = paper_id)
+    coalesce(n, 0) AS self_citation_edges FROM (SELECT paper_id, similarity, semantic AS a, semantic_relation AS b FROM sc JOIN sim ON sim.id = paper_id)
     LEFT JOIN (SELECT source_id, count(*) AS n FROM wedges WHERE shared > 0 GROUP BY ALL) ON source_id = paper_id""",
   **score_ctes(("semantic", "semantic_relation")),
   **similarity_ctes(_TITLES, "text", char_terms_sql("tf_rows"), "['re','ed','d ',' w','wi','id','dg','ge','et','red','ed ','d w',' wi','wid','idg','dge','get']")))
 def price_penalty_change(spark, d):
-    titles = M.papers(spark, d).where("is_core").select("paper_id", "title")
+    titles = M.papers(spark, d).select("paper_id", "title")
     c = character_similarity(titles, "paper_id", "title", QUERY_TEXT).join(scores(spark, d, ("semantic", "semantic_relation")), "paper_id")
     e = M.shared_members(M.edges(spark, d), M.members(spark, d), "source_id", "target_id", "paper_id", "author", "shared")
     self_cites = e.where("shared > 0").groupBy(F.col("source_id").alias("paper_id")).agg(F.count(F.lit(1)).alias("self_citation_edges"))
@@ -506,7 +509,7 @@ _CASE = {
     **similarity_ctes(_TITLES, "text", word_terms_sql("tf_rows", STOP_WORDS), "['red', 'widget', 'red widget']"),
     "cases": """SELECT c.paper_id, c."full" AS f, round(similarity, 6) AS similarity, ra AS full_rank, ra - rb AS rank_change, coalesce(o.n, 0) AS self_citation_edges,
         round(coalesce(i.q, 0.3), 8) AS mean_q, round(coalesce(i.t, 1.0), 8) AS mean_tau
-      FROM core c JOIN sim ON sim.id = c.paper_id
+      FROM sc c JOIN sim ON sim.id = c.paper_id
       JOIN (SELECT paper_id, rank() OVER (ORDER BY semantic_temporal DESC) AS rb, rank() OVER (ORDER BY "full" DESC) AS ra FROM sc) USING (paper_id)
       LEFT JOIN (SELECT source_id, count(*) FILTER (WHERE shared > 0) AS n FROM wedges GROUP BY ALL) o ON o.source_id = c.paper_id
       LEFT JOIN (SELECT target_id, avg(q_ij) AS q, avg(tau) AS t FROM wedges GROUP BY ALL) i ON i.target_id = c.paper_id""",
@@ -531,7 +534,7 @@ def _case_select(name: str, where: str, order: str) -> str:
 def case_selection(spark, d):
     papers, e = M.papers(spark, d), M.weighted_edges(spark, d)
     effect = P.penalty_effect(scores(spark, d, ("semantic_temporal", "full")), e, "semantic_temporal", "full")
-    titles = papers.where("is_core").select("paper_id", "title")
+    titles = papers.select("paper_id", "title")
     sim = word_similarity(titles, "paper_id", "title", QUERY_TEXT, STOP_WORDS).select("paper_id", r6("similarity").alias("similarity"))
     cited = e.groupBy(F.col("target_id").alias("paper_id")).agg(F.avg("q_ij").alias("mean_q"), F.avg("tau").alias("mean_tau"))
     cases = R.lookup(effect.join(sim, "paper_id"), cited, ["paper_id"], {"mean_q": C.DEFAULT_QUALITY, "mean_tau": 1.0}).select(

@@ -345,6 +345,20 @@ def kendall_sql(rows: str, x: str, y: str, by: str = "") -> str:
       FROM (SELECT *, row_number() OVER () AS rid FROM {rows}) a JOIN (SELECT *, row_number() OVER () AS rid FROM {rows}) b ON {on} a.rid <> b.rid) {group}"""
 
 
+def kendall_count_sql(rows: str, x: str, y: str, by: str) -> str:
+    """Tau-b by counting: two rows whose x ranks differ part at one bit of the rank, where running sums over y count them."""
+    return f"""SELECT {by}, (2.0::DOUBLE * c - (n0 - tx - ty + txy)) / (sqrt(n0 - tx) * sqrt(n0 - ty)) AS kendall FROM (
+        SELECT {by}, sum(hi * coalesce(lower, 0))::DOUBLE AS c FROM (
+          SELECT {by}, hi, sum(1 - hi) OVER (PARTITION BY {by}, bit, rx >> (bit + 1) ORDER BY ry RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lower FROM (
+            SELECT {by}, rx, ry, bit, (rx >> bit) & 1 AS hi FROM (
+              SELECT {by}, rank() OVER (PARTITION BY {by} ORDER BY {x}) - 1 AS rx, rank() OVER (PARTITION BY {by} ORDER BY {y}) - 1 AS ry FROM {rows}),
+              (SELECT unnest(range(0, 40)) AS bit) WHERE bit <= (SELECT ceil(log2(count(*) + 1)) FROM {rows}))) GROUP BY {by})
+      JOIN (SELECT {by}, sum(k)::DOUBLE * (sum(k)::DOUBLE - 1) / 2 AS n0, any_value(txy) AS txy FROM (
+        SELECT {by}, k, sum(k::DOUBLE * (k - 1) / 2) OVER (PARTITION BY {by}) AS txy FROM (SELECT {by}, {x}, {y}, count(*) AS k FROM {rows} GROUP BY ALL)) GROUP BY {by}) USING ({by})
+      JOIN (SELECT {by}, sum(k::DOUBLE * (k - 1) / 2) AS tx FROM (SELECT {by}, {x}, count(*) AS k FROM {rows} GROUP BY ALL) GROUP BY {by}) USING ({by})
+      JOIN (SELECT {by}, sum(k::DOUBLE * (k - 1) / 2) AS ty FROM (SELECT {by}, {y}, count(*) AS k FROM {rows} GROUP BY ALL) GROUP BY {by}) USING ({by})"""
+
+
 @query("corr_kendall", f"WITH c AS MATERIALIZED ({_CUSTOMER}) SELECT round(kendall, 6) AS kendall FROM ({kendall_sql('c', 'orders', 'c_acctbal')})")
 def corr_kendall(spark, d):
     return kendall(_customers(spark, d), "orders", "c_acctbal").withColumn("kendall", r6("kendall"))
