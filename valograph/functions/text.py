@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from string import Formatter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,6 +73,31 @@ def sequence_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
+def title_similarity(left: Column | str, right: Column | str) -> Column:
+    """Blend of sequence ratio and word overlap of two normalised strings; containment gives at least 0.95, empty ones 0."""
+    left, right = _col(left), _col(right)
+    ratio = sequence_ratio(left, right)
+    held = F.contains(left, right) | F.contains(right, left)
+    blend = 0.65 * ratio + 0.35 * jaccard(F.array_distinct(F.split(left, " ")), F.array_distinct(F.split(right, " ")))
+    return F.when((left == "") | (right == ""), 0.0).when(held, F.greatest(ratio, F.lit(0.95))).otherwise(blend)
+
+
+def fill_template(template: str, **values: Column | str) -> Column:
+    """``template`` with each ``{name}`` or ``{name:.2f}`` replaced by the column of that name; a null reads as empty.
+
+    The text between the slots is taken as it stands, so a prompt may hold percent signs and line breaks.
+    """
+    parts = []
+    for text, name, form, _ in Formatter().parse(template):
+        if text:
+            parts.append(F.lit(text))
+        if name is not None:
+            value = _col(values[name])
+            shown = F.format_string(f"%{form}", value) if form else value.cast("string")
+            parts.append(F.coalesce(F.when(value.isNotNull(), shown), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def keyword_fallback(value: Column | str, words: Sequence[str], miss: float = 0.5) -> Column:
     """1 if the text holds every word, else ``miss``."""
     text = F.lower(_col(value))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,36 +41,33 @@ def diverse_sample(
 ) -> DataFrame:
     """One row per stratum, from a source not used before where the stratum has one, then others up to ``n``.
 
-    The choice is greedy: strata come in the order of their first row under ``stratum_order``. With S strata at
-    most S - 1 sources are taken before the last choice, so the first S sources of each stratum always hold the
-    right row. Only those, at most S * S rows, go into the greedy step; S is a product of label counts.
+    The choice is greedy: strata come in the order of their first row under ``stratum_order``, and a sample of ``n`` rows
+    has room for the first ``n`` of them. The k-th choice has at most k - 1 used sources to step around, so of its stratum
+    only the first k sources can matter: the greedy step folds n (n + 1) / 2 keys at most, however large the table is.
     """
-    strata = best_per_key(df, [stratum], list(stratum_order)).select(
-        stratum, F.struct(*[F.col(c) for c in df.columns if c != stratum]).alias("_first")
-    )
-    size = strata.count()
-    per_source = best_per_key(df, [stratum, source], [F.asc(key)])
-    shortlist = top_per_key(per_source, [stratum], [F.asc(source)], max(size, 1)).select(stratum, F.col(source).alias("_src"), F.col(key).alias("_id"))
-    first_rows = strata.select(stratum, "_first.*")
-    order = top_per_key(first_rows, [], list(stratum_order), max(size, 1)).select(stratum, F.col("position").alias("turn"))
-    bounded = shortlist.join(F.broadcast(order), stratum).select("turn", "_src", "_id")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        used, chosen = set(), []
-        for turn, group in rows.sort_values(["turn", "_src", "_id"]).groupby("turn", sort=True):
-            fresh = group[~group["_src"].isin(used)]
-            row = (group if fresh.empty else fresh).iloc[0]
-            used.add(row["_src"])
-            chosen.append((row["_id"], turn))
-        return pd.DataFrame(chosen, columns=["_id", "turn"])
-
-    id_type = df.schema[key].dataType.simpleString()
-    chosen = bounded.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, f"_id {id_type}, turn long")
+    first_rows = best_per_key(df, [stratum], list(stratum_order))
+    order = top_per_key(first_rows, [], list(stratum_order), n).select(stratum, F.col("position").cast("bigint").alias("turn"))
+    known = df.join(F.broadcast(order), stratum)  # at most n rows
+    per_source = best_per_key(known, ["turn", source], [F.asc(key)])
+    shortlist = top_per_key(per_source, ["turn"], [F.asc(source)], n).where("position <= turn")
+    row = F.struct(F.col("turn"), F.struct(F.col(source).alias("src"), F.col(key).alias("id")).alias("c"))
+    turns = shortlist.select(row.alias("r")).groupBy("r.turn").agg(F.array_sort(F.collect_list("r.c")).alias("choices"))
+    ids, sources = f"array<{df.schema[key].dataType.simpleString()}>", f"array<{df.schema[source].dataType.simpleString()}>"
+
+    def choose(state: Column, turn: Column) -> Column:
+        choices = turn["choices"]
+        fresh = F.filter(choices, lambda c: ~F.array_contains(state["used"], c["src"]))
+        pick = F.when(F.size(fresh) > 0, F.get(fresh, 0)).otherwise(F.get(choices, 0))
+        return F.struct(F.array_append(state["used"], pick["src"]).alias("used"), F.array_append(state["ids"], pick["id"]).alias("ids"))
+
+    start = F.struct(F.array().cast(sources).alias("used"), F.array().cast(ids).alias("ids"))
+    folded = turns.agg(F.array_sort(F.collect_list(F.struct("turn", "choices"))).alias("turns"))
+    chosen = folded.select(F.posexplode(F.aggregate("turns", start, choose)["ids"]).alias("turn", "_id"))
     picked = df.join(F.broadcast(chosen), df[key] == chosen["_id"]).withColumn("_tier", F.lit(0)).drop("_id")
     rest = df.join(F.broadcast(chosen.select(F.col("_id").alias(key))), key, "left_anti")
-    fill = top_per_key(rest, [], [*fill_order, F.asc(key)], n).withColumn("turn", F.col("position").cast("bigint")).drop("position")
+    fill = top_per_key(rest, [], [*fill_order, F.asc(key)], n).withColumn("turn", F.col("position")).drop("position")
     both = picked.unionByName(fill.withColumn("_tier", F.lit(1)))
-    return top_per_key(both, [], [F.asc("_tier"), F.asc("turn")], n).drop("_tier", "turn")
+    return top_per_key(both, [], [F.asc("_tier"), F.asc("turn")], n).drop("_tier", "turn", "position")
 
 
 def hard_cases(df: DataFrame, text: str, cues: Sequence[str] = C.HARD_CASE_CUES) -> DataFrame:

@@ -487,11 +487,16 @@ def scenario_top5(spark, d):
     return scenario_top(_priced(spark, d), "paper_id")
 
 
-@query("price_penalty_change", sql("""SELECT paper_id, round(a + 10.0 * similarity, 9) AS wtp_old, round(b + 10.0 * similarity, 9) AS wtp_new, round((b - a) / 2.0, 9) AS price_change,
+_PENALTY_SQL = """SELECT paper_id, round(a + 10.0 * similarity, 9) AS wtp_old, round(b + 10.0 * similarity, 9) AS wtp_new, round((b - a) / 2.0, 9) AS price_change,
     coalesce(n, 0) AS self_citation_edges FROM (SELECT paper_id, similarity, semantic AS a, semantic_relation AS b FROM sc JOIN sim ON sim.id = paper_id)
-    LEFT JOIN (SELECT source_id, count(*) AS n FROM wedges WHERE shared > 0 GROUP BY ALL) ON source_id = paper_id""",
-  **score_ctes(("semantic", "semantic_relation")),
-  **similarity_ctes(_TITLES, "text", char_terms_sql("tf_rows"), "['re','ed','d ',' w','wi','id','dg','ge','et','red','ed ','d w',' wi','wid','idg','dge','get']")))
+    LEFT JOIN (SELECT source_id, count(*) AS n FROM wedges WHERE shared > 0 GROUP BY ALL) ON source_id = paper_id"""
+_PENALTY = {
+    **score_ctes(("semantic", "semantic_relation")),
+    **similarity_ctes(_TITLES, "text", char_terms_sql("tf_rows"), "['re','ed','d ',' w','wi','id','dg','ge','et','red','ed ','d w',' wi','wid','idg','dge','get']"),
+}
+
+
+@query("price_penalty_change", sql(_PENALTY_SQL, **_PENALTY))
 def price_penalty_change(spark, d):
     titles = M.papers(spark, d).select("paper_id", "title")
     c = character_similarity(titles, "paper_id", "title", QUERY_TEXT).join(scores(spark, d, ("semantic", "semantic_relation")), "paper_id")
@@ -504,6 +509,12 @@ def price_penalty_change(spark, d):
     )
 
 
+@query("price_penalty_correlation", sql("SELECT round(corr(self_citation_edges, price_change), 6) AS correlation FROM changed", **_PENALTY, changed=_PENALTY_SQL))
+def price_penalty_correlation(spark, d):
+    """Whether prices fall with the number of a paper's self-citing edges."""
+    return price_penalty_change(spark, d).agg(r6(F.corr("self_citation_edges", "price_change")).alias("correlation"))
+
+
 _CASE = {
     **score_ctes(("semantic_temporal", "full")),
     **similarity_ctes(_TITLES, "text", word_terms_sql("tf_rows", STOP_WORDS), "['red', 'widget', 'red widget']"),

@@ -215,11 +215,13 @@ def agg_two_level(spark, d):
     "metrics_unpivot",
     sql("""SELECT metric, round(value, 6) AS value FROM (UNPIVOT (
              SELECT count(*)::DOUBLE AS scored_edges, avg(sentiment) AS mean_sentiment, avg(relevance) AS mean_relevance, avg(confidence) AS mean_confidence,
-               avg(CASE WHEN confidence < 0.5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS low_confidence_ratio, avg(q_ij) AS mean_q, corr(relevance, q_ij) AS relevance_corr
+               avg(CASE WHEN confidence < 0.5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS low_confidence_ratio, avg(q_ij) AS mean_q, quantile_cont(q_ij, 0.5) AS median_q, corr(relevance, q_ij) AS relevance_corr
              FROM best) ON COLUMNS(*) INTO NAME metric VALUE value)"""),
 )
 def metrics_unpivot(spark, d):
-    row = M.best_scores(spark, d).agg(
+    best = M.best_scores(spark, d)
+    median = exact_quantiles(best, "q_ij", [0.5]).select(F.col("quantile").alias("median_q"))
+    row = best.agg(
         F.count(F.lit(1)).alias("scored_edges"),
         F.avg("sentiment").alias("mean_sentiment"),
         F.avg("relevance").alias("mean_relevance"),
@@ -228,7 +230,7 @@ def metrics_unpivot(spark, d):
         F.avg("q_ij").alias("mean_q"),
         F.corr("relevance", "q_ij").alias("relevance_corr"),
     )
-    return R.unpivot_metrics(row).withColumn("value", r6("value"))
+    return R.unpivot_metrics(R.with_scalars(row, median)).withColumn("value", r6("value"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from valograph import constants as C
 from valograph.functions import scalars as S
+from valograph.functions import text as T
 from valograph.operators.relational import min_max
 from valograph.operators.scoring import parse_reply
 from valograph.sources import readers
@@ -204,7 +205,8 @@ def proj_stratum(spark, d):
              count(*) AS n FROM scored GROUP BY ALL"""),
 )
 def proj_prompt(spark, d):
-    prompt = F.format_string("edge %s in %s relevance %.2f", "edge_id", "section", "relevance").alias("prompt")
+    slots = {"edge": "edge_id", "section": "section", "relevance": "relevance"}
+    prompt = T.fill_template("edge {edge} in {section} relevance {relevance:.2f}", **slots).alias("prompt")
     return M.scored(spark, d).groupBy("source_id", "target_id", prompt).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -68,17 +68,60 @@ def txt_jaccard(spark, d):
     return j.select("conv_id", "turn", r6(T.jaccard(F.col("s"), F.col("t"))).alias("jaccard"), r6(T.recall(F.col("s"), F.col("t"))).alias("recall"))
 
 
+# The sequence ratio sums the longest common block of two strings and, in turn, those left and right of it.
+RATIO_CTES = {
+    "equal_at": """SELECT title, name, i, j, len(list_filter(range(1, (least(length(title) - i, length(name) - j) + 2)::INT), lambda k: substr(title, i::INT, k::INT) = substr(name, j::INT, k::INT))) AS k
+      FROM (SELECT title, name, i, unnest(range(1, length(name) + 1)) AS j FROM (SELECT title, name, unnest(range(1, length(title) + 1)) AS i FROM compared))
+      WHERE substr(title, i::INT, 1) = substr(name, j::INT, 1)""",
+    "pieces_of": """SELECT title, name, 1::BIGINT AS a, length(title) + 1 AS z, 1::BIGINT AS b, length(name) + 1 AS y, 0::BIGINT AS k FROM compared
+      UNION ALL SELECT title, name, if(side = 0, a, m.i + m.k), if(side = 0, m.i, z), if(side = 0, b, m.j + m.k), if(side = 0, m.j, y), if(side = 0, m.k, 0) FROM (
+        SELECT p.title, p.name, p.a, p.z, p.b, p.y, max({'k': least(e.k, p.z - e.i, p.y - e.j), 'ni': -e.i, 'nj': -e.j, 'i': e.i, 'j': e.j}) AS m
+        FROM pieces_of p JOIN equal_at e ON e.title = p.title AND e.name = p.name AND e.i >= p.a AND e.i < p.z AND e.j >= p.b AND e.j < p.y GROUP BY ALL) CROSS JOIN (VALUES (0), (1)) s(side)""",
+    "ratios": "SELECT title, name, 2.0::DOUBLE * sum(k)::DOUBLE / (length(title) + length(name)) AS ratio FROM pieces_of GROUP BY title, name",
+}
+
+
+def ratio_sql(compared: str, **before: str) -> str:
+    """Common table expressions ending in ``ratios(title, name, ratio)`` for the distinct pairs of ``compared``."""
+    return "WITH RECURSIVE " + ", ".join(f"{k} AS ({v})" for k, v in {**before, "compared": compared, **RATIO_CTES}.items())
+
+
+_SPACED = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+_TITLES = {
+    "paired": "SELECT p_partkey, p_name AS title, concat_ws(' ', p_brand, reverse(p_name), p_type) AS entry FROM part",
+    "folded": rf"""SELECT DISTINCT title, entry, {_SPACED.format(c='title')} AS a, {_SPACED.format(c='entry')} AS b, replace({_SPACED.format(c='title')}, ' ', '') AS sa, replace({_SPACED.format(c='entry')}, ' ', '') AS sb,
+        replace({_SPACED.format(c="regexp_split_to_array(title, '[:–—-]')[1]")}, ' ', '') AS ca, replace({_SPACED.format(c="regexp_split_to_array(entry, '[:–—-]')[1]")}, ' ', '') AS cb FROM paired""",
+}
+_WORDS = "list_distinct(list_filter(string_split({c}, ' '), lambda w: length(w) > 2 AND NOT list_contains(" + str(list(C.TITLE_STOP_WORDS)) + ", w)))"
+
+
 def _part_titles(spark, d):
     p = read_table(spark, d, "part")
     return p.select("p_partkey", "p_name", F.concat_ws(" ", "p_brand", F.reverse("p_name"), "p_type").alias("entry"))
 
 
-@query("txt_seq_ratio")
+@query("txt_seq_ratio", ratio_sql("SELECT DISTINCT title, entry AS name FROM paired", **_TITLES) + " SELECT p_partkey, round(ratio, 6) AS ratio FROM paired JOIN ratios r ON r.title = paired.title AND r.name = entry")
 def txt_seq_ratio(spark, d):
     return _part_titles(spark, d).select("p_partkey", r6(T.sequence_ratio("p_name", "entry")).alias("ratio"))
 
 
-@query("txt_title_score")
+@query("txt_title_similarity", ratio_sql("SELECT DISTINCT a AS title, b AS name FROM folded", **_TITLES) + """
+  SELECT p_partkey, round(CASE WHEN contains(b, a) OR contains(a, b) THEN greatest(ratio, 0.95)
+    ELSE 0.65::DOUBLE * ratio + 0.35::DOUBLE * len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / greatest(1, len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' '))))) END, 6) AS similarity
+  FROM paired JOIN folded USING (title, entry) JOIN ratios r ON r.title = a AND r.name = b""")
+def txt_title_similarity(spark, d):
+    t = _part_titles(spark, d)
+    return t.select("p_partkey", r6(T.title_similarity(T.normalise("p_name"), T.normalise("entry"))).alias("similarity"))
+
+
+@query("txt_title_score", ratio_sql("SELECT a AS title, b AS name FROM folded UNION SELECT sa, sb FROM folded UNION SELECT ca, cb FROM folded WHERE ca <> '' AND cb <> ''", **_TITLES) + f"""
+  , steps AS (SELECT folded.title, entry, sa, sb, ca, rl.ratio AS loose, rs.ratio AS solid, coalesce(rc.ratio, 0.0) AS core,
+      len(list_intersect({_WORDS.format(c='a')}, {_WORDS.format(c='b')})) / greatest(1, len({_WORDS.format(c='a')})) AS recall
+    FROM folded JOIN ratios rl ON rl.title = a AND rl.name = b JOIN ratios rs ON rs.title = sa AND rs.name = sb LEFT JOIN ratios rc ON rc.title = ca AND rc.name = cb),
+  judged AS (SELECT title, entry, CASE WHEN contains(sb, sa) THEN 1 WHEN ca <> '' AND contains(sb, ca) THEN 2 WHEN solid >= 0.92 AND recall >= 0.6 THEN 3 WHEN core >= 0.9 AND recall >= 0.55 THEN 4 ELSE 5 END AS step,
+    greatest(0.55::DOUBLE * loose + 0.25::DOUBLE * solid + 0.2::DOUBLE * recall, 0.95::DOUBLE * core) AS blend, solid, core FROM steps)
+  SELECT p_partkey, round([0.99, 0.96, solid, core, blend][step], 6) AS score,
+    ['title_compact_exact', 'core_title_exact', 'title_compact_fuzzy_high', 'core_title_fuzzy_high', 'title_fuzzy_candidate'][step] AS method FROM paired JOIN judged USING (title, entry)""")
 def txt_title_score(spark, d):
     t = _part_titles(spark, d).withColumn("t", A.title_scores("p_name", "entry"))
     return t.select("p_partkey", r6("t.score").alias("score"), F.col("t.method").alias("method"))
@@ -138,9 +181,9 @@ def txt_ref_entries(spark, d):
     return a.select("doc_id", F.size("e").alias("entries"), F.md5(F.array_join(F.transform("e", lambda x: x["entry"]), "|")).alias("digest"))
 
 
-@query("txt_author_year_entries", article_sql("""SELECT doc_id, count(*) FILTER (WHERE length(trim(entry)) >= 40) AS entries FROM marked WHERE lang = 'es' GROUP BY doc_id"""))
+@query("txt_author_year_entries", article_sql("""SELECT doc_id, count(*) FILTER (WHERE lang = 'es' AND length(trim(entry)) >= 40) AS entries FROM marked GROUP BY doc_id"""))
 def txt_author_year_entries(spark, d):
-    a = articles(spark, d).where("lang = 'es'").select("doc_id", T.author_year_entries(T.reference_text("full_text")).alias("e"))
+    a = articles(spark, d).select("doc_id", T.author_year_entries(T.reference_text("full_text")).alias("e"))
     return a.select("doc_id", F.size("e").cast("bigint").alias("entries"))
 
 
@@ -437,27 +480,14 @@ def file_binding(spark, d):
     return bind_files(by_id.unionByName(by_title), parts, r"(W\d{6,})").select("paper_id", "file_name", "step")
 
 
-# The ratio sums the longest common block of two strings and, in turn, those left and right of it.
-_RATIO_CTES = {
-    "equal_at": """SELECT title, name, i, j, len(list_filter(range(1, (least(length(title) - i, length(name) - j) + 2)::INT), lambda k: substr(title, i::INT, k::INT) = substr(name, j::INT, k::INT))) AS k
-      FROM (SELECT title, name, i, unnest(range(1, length(name) + 1)) AS j FROM (SELECT title, name, unnest(range(1, length(title) + 1)) AS i FROM titles CROSS JOIN names))
-      WHERE substr(title, i::INT, 1) = substr(name, j::INT, 1)""",
-    "pieces": """SELECT title, name, 1::BIGINT AS a, length(title) + 1 AS z, 1::BIGINT AS b, length(name) + 1 AS y, 0::BIGINT AS k FROM titles CROSS JOIN names
-      UNION ALL SELECT title, name, if(side = 0, a, m.i + m.k), if(side = 0, m.i, z), if(side = 0, b, m.j + m.k), if(side = 0, m.j, y), if(side = 0, m.k, 0) FROM (
-        SELECT p.title, p.name, p.a, p.z, p.b, p.y, max({'k': least(e.k, p.z - e.i, p.y - e.j), 'ni': -e.i, 'nj': -e.j, 'i': e.i, 'j': e.j}) AS m
-        FROM pieces p JOIN equal_at e ON e.title = p.title AND e.name = p.name AND e.i >= p.a AND e.i < p.z AND e.j >= p.b AND e.j < p.y GROUP BY ALL) CROSS JOIN (VALUES (0), (1)) s(side)""",
-    "matched": """SELECT title, name, 2.0::DOUBLE * sum(k)::DOUBLE / (length(title) + length(name)) + if(contains(name, title), 0.25, 0.0)::DOUBLE AS score FROM pieces GROUP BY title, name""",
-    "bound": """SELECT title, file_name, score FROM matched JOIN names USING (name) WHERE score >= 0.55
-      QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, file_name) = 1""",
-}
-
-
 @query("file_fuzzy_match", """WITH RECURSIVE parts AS (SELECT p_partkey AS paper_id, p_name AS title FROM part),
   stems AS (SELECT DISTINCT p_brand || '-' || replace(CASE WHEN p_size > 25 THEN replace(p_name, 'i', 'y') ELSE p_name END, ' ', '_') AS stem FROM part),
   files AS (SELECT stem || '.pdf' AS file_name FROM stems UNION SELECT 'Source_' || s_suppkey || '.pdf' FROM supplier),
   names AS (SELECT min(file_name) AS file_name, name FROM (SELECT file_name, trim(regexp_replace(lower(regexp_replace(file_name, '\\.[^.]*$', '')), '[^a-z0-9]+', ' ', 'g')) AS name FROM files) WHERE name <> '' GROUP BY name),
   opened AS (SELECT paper_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title FROM parts WHERE 'Source_' || paper_id || '.pdf' NOT IN (SELECT file_name FROM files)),
-  titles AS (SELECT DISTINCT title FROM opened WHERE title <> ''), """ + ", ".join(f"{k} AS ({v})" for k, v in _RATIO_CTES.items()) + """
+  titles AS (SELECT DISTINCT title FROM opened WHERE title <> ''), compared AS (SELECT title, name FROM titles CROSS JOIN names), """ + ", ".join(f"{k} AS ({v})" for k, v in RATIO_CTES.items()) + """,
+  matched AS (SELECT title, name, ratio + if(contains(name, title), 0.25, 0.0)::DOUBLE AS score FROM ratios),
+  bound AS (SELECT title, file_name, score FROM matched JOIN names USING (name) WHERE score >= 0.55 QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, file_name) = 1)
   SELECT paper_id, coalesce(f.file_name, b.file_name) AS file_name, round(b.score, 6) AS score FROM parts p LEFT JOIN files f ON f.file_name = 'Source_' || p.paper_id || '.pdf'
   LEFT JOIN opened USING (paper_id) LEFT JOIN bound b ON b.title = opened.title""")
 def file_fuzzy_match(spark, d):
@@ -487,13 +517,34 @@ def sample_stratified(spark, d):
     return P.stratified_sample(_sample_rows(spark, d), "edge_id", "stratum", forced, 120).select("edge_id", "stratum", "sample_id")
 
 
-@query("sample_diverse")
+def _diverse_sql(rows: str, key: str, source: str, stratum_order: str, fill_order: str, n: int, columns: str) -> str:
+    """SQL of the diverse sample over ``rows`` (a table with ``stratum``): the greedy choice as a recursion over strata."""
+    return f"""first_rows AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {stratum_order}) AS place FROM {rows}),
+      strata AS (SELECT stratum, row_number() OVER (ORDER BY {stratum_order}) AS turn FROM first_rows WHERE place = 1),
+      choices AS (SELECT turn, {source} AS src, min({key}) AS id FROM {rows} JOIN strata USING (stratum) GROUP BY ALL),
+      greedy AS (SELECT 0::BIGINT AS turn, [] ::{{t}}[] AS used, NULL::{{t}} AS src, NULL::{{i}} AS id
+        UNION ALL SELECT turn, list_append(used, m.src), m.src, m.id FROM (
+          SELECT g.turn + 1 AS turn, g.used, min({{{{'taken': list_contains(g.used, c.src), 'src': c.src, 'id': c.id}}}}) AS m
+          FROM greedy g JOIN choices c ON c.turn = g.turn + 1 GROUP BY ALL)),
+      both_tiers AS (SELECT r.*, 0 AS tier, g.turn FROM {rows} r JOIN greedy g ON g.id = r.{key}
+        UNION ALL SELECT *, 1, row_number() OVER (ORDER BY {fill_order}, {key}) FROM {rows} WHERE {key} NOT IN (SELECT id FROM greedy WHERE id IS NOT NULL))
+    SELECT {columns} FROM both_tiers QUALIFY row_number() OVER (ORDER BY tier, turn) <= {n}"""
+
+
+_DIVERSE = _diverse_sql("pool", "edge_id", "source_id", "edge_id", "source_id, relevance DESC, q_ij DESC", 50, "edge_id, source_id, stratum").format(t="BIGINT", i="VARCHAR")
+
+
+@query("sample_diverse", sql("", pool=f"SELECT *, source_id || '->' || target_id AS edge_id, {STRATUM_SQL} AS stratum FROM best").rstrip() + ", " + _DIVERSE)
 def sample_diverse(spark, d):
     fill = [F.asc("source_id"), F.desc("relevance"), F.desc("q_ij")]
     return P.diverse_sample(_sample_rows(spark, d), "edge_id", "source_id", "stratum", [F.asc("edge_id")], fill, 50).select("edge_id", "source_id", "stratum")
 
 
-@query("sample_hardcase")
+_HARD = rf"""WITH RECURSIVE cued AS (SELECT doc_id, lang, source, n_chars, list_sort(list_distinct(regexp_extract_all(lower(text), '\b({'|'.join(_CUES)})\b'))) AS cues FROM documents),
+  pool AS (SELECT doc_id, lang, source, n_chars, array_to_string(cues, ', ') AS matched_cue_words, len(cues) AS cue_count, concat_ws('|', coalesce(lang, 'nan'), len(cues)) AS stratum FROM cued WHERE len(cues) > 0), """
+
+
+@query("sample_hardcase", _HARD + _diverse_sql("pool", "doc_id", "source", "cue_count DESC, lang, n_chars DESC, doc_id", "source, n_chars DESC", 30, "doc_id, source, stratum, matched_cue_words").format(t="VARCHAR", i="BIGINT"))
 def sample_hardcase(spark, d):
     doc = read_table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     hard = P.hard_cases(doc, "text", _CUES).withColumn("stratum", S.stratum_key("lang", "cue_count")).drop("text")
