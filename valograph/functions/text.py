@@ -254,6 +254,20 @@ def with_mentions(df: DataFrame, index: str, number: Column | str, out: str) ->
     return listed.withColumn(out, F.coalesce(fresh, none)).drop("_number", "_hits", "_windows")
 
 
+def mentions_by_number(df: DataFrame, key: str, index: str) -> DataFrame:
+    """``key, number, mentions``: for each reference number of a text its mentions ``(at, kind, window)`` in text order.
+
+    A bracket becomes a row per number it cites, never a copy of the text's whole index; a window met again for the same
+    number is left out. ``index`` should be a written column: an expression would be computed anew for each of its parts.
+    """
+    each = df.select(key, F.posexplode(index).alias("at", "m")).select(
+        key, "at", "m.kind", "m.window", F.explode(F.array_distinct("m.numbers")).alias("number")
+    )
+    first = each.groupBy(key, "number", "window").agg(F.min(F.struct("at", "kind")).alias("f"))
+    mention = F.struct(F.col("f.at").alias("at"), F.col("f.kind").alias("kind"), F.col("window"))
+    return first.groupBy(key, "number").agg(F.array_sort(F.collect_list(mention)).alias("mentions"))
+
+
 def surname(author: Column | str) -> Column:
     """Last word of the normalised author name."""
     return F.element_at(F.split(normalise_loose(author), " "), -1)

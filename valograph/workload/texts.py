@@ -220,8 +220,7 @@ _MENTION_CTES = {
 def txt_mentions(spark, d):
     a = articles(spark, d).select("doc_id", T.body_text("full_text").alias("body")).withColumn("s", T.sentences("body"))
     a = a.select("doc_id", T.mention_index("s").alias("index"))
-    numbers = F.explode(F.array_distinct(F.flatten(F.transform("index", lambda m: m["numbers"]))))
-    found = T.with_mentions(a.withColumn("number", numbers), "index", "number", "m")
+    found = T.mentions_by_number(materialise(a), "doc_id", "index").withColumnRenamed("mentions", "m")
     kinds = lambda k: F.size(F.filter("m", lambda m: m["kind"] == k)).cast("bigint")
     return found.select(
         "doc_id", "number", F.size("m").cast("bigint").alias("mentions"), kinds("grouped").alias("grouped"), kinds("range").alias("ranges"),
