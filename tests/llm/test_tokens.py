@@ -116,3 +116,15 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert read_tokens(write_tokens(empty, WORDS)).count() == 0
     assert packed(written(pieces(empty, BYTES), "cut")).count() == 0
+
+
+def test_rows_of_one_id_have_the_same_places_in_every_run(spark):
+    rows = [(7, f"text number {i % 40} of many") for i in range(120)] + [(None, f"nameless {i}") for i in range(30)] + [(3, None), (3, ""), (9, "last")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    runs = []
+    for parts in (1, 5, 3):
+        manifest = write_tokens(frame.repartition(parts), public_path("word_bpe_49k.json"))
+        runs.append(sorted((x.start, x.doc_id is None, x.doc_id, bytes(x.ids)) for x in read_tokens(manifest).collect()))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
+    ids = [x[2] for x in runs[0]]
+    assert ids == sorted(ids, key=lambda i: (i is None, i or 0))
