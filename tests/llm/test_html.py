@@ -37,3 +37,41 @@ def test_odd_markup_does_not_stop_it():
 
 def test_empty_table(spark):
     assert html.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+LONG = "<p>" + "a long paragraph of many words " * 20 + "</p>"
+
+
+def test_names_that_hold_a_mark_do_not_take_article_text_out(spark):
+    rows = [(i, f"u{i}", CASES[i % 3]) for i in range(12)]
+    learned = html.learned_scores(spark.createDataFrame(rows, SCHEMA))
+    part = "Related work is told here in a section of its own."
+    for name in ("id='related-work'", "class='social-history'", "class='product banner-years'", 'class="shareWorth"'):
+        for holder in ("article", "div"):
+            page = f"<nav><a href=/>Home</a></nav><{holder}><h1>Head line</h1><p>First one, long enough to outweigh two tags.</p><section {name}><p>{part}</p></section>{LONG}</{holder}><footer>End</footer>"
+            want = f"Head line\nFirst one, long enough to outweigh two tags.\n{part}\n" + ("a long paragraph of many words " * 20).strip()
+            assert html.Page(page).main_text(html.DEFAULT) == want, (name, holder)
+            if holder == "article":
+                assert html.Page(page).main_text(learned) == want, name
+
+
+def test_names_that_say_nothing_but_the_mark_stay_out():
+    for name in ("class=ad", "class='related-posts'", "class='x cookie_notice'", "id=sidebarLeft", "class='comment-list'", "role=navigation", "class='ad-slot-3'"):
+        page = f"<article><h1>Head line</h1>{LONG}<div {name}><p>None of this at all.</p></div>{LONG}</article>"
+        assert "None" not in html.Page(page).main_text(html.DEFAULT), name
+        assert html.Page(page).main_text(html.DEFAULT).count("a long paragraph") == 40, name
+
+
+def test_a_long_advert_does_not_end_the_article(spark):
+    advert = "<div class=ad>" + "buy this thing now " * 100 + "</div>"
+    rows = [(i, f"u{i}", CASES[i % 3]) for i in range(12)]
+    scores = html.learned_scores(spark.createDataFrame(rows, SCHEMA))
+    big = "<p>" + "a long paragraph of many words " * 200 + "</p>"
+    got = html.Page(f"<body><article>{big}{advert}{big}</article>").main_text(scores)
+    assert got == "\n".join(["a long paragraph of many words " * 200][0].strip() for _ in range(2))
+
+
+def test_formulas_are_text_and_custom_elements_are_no_raw_ones():
+    page = f"<article>{LONG}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> be.</p><video-box><p>A caption.</p></video-box>{LONG}</article>"
+    got = html.Page(page).main_text(html.DEFAULT)
+    assert "\nLet x=2 be.\nA caption.\n" in got
