@@ -130,3 +130,23 @@ def test_typed_graph(spark):
         [("P_W1", "A_A1"), ("P_W1", "A_A2"), ("P_W2", "A_A1"), ("A_A1", "I_I1"), ("A_A1", "I_I2"), ("P_W1", "P_W2")]
     )
     assert {r["id"]: r["node_type"] for r in nodes.collect()}["I_I2"] == "institution"
+
+
+def test_standard_variants_match_a_plain_run(spark):
+    r = random.Random(8)
+    nodes = list(range(30))
+    edges = [(r.choice(nodes), r.choice(nodes), r.choice([0.0, 0.2, 1.0]), r.choice([0.0, 0.0, 3.0])) for _ in range(70)] + [(1, 99, 1.0, 1.0), (3, 4, None, None)]
+    n = spark.createDataFrame([(i,) for i in nodes], "paper_id bigint")
+    e = spark.createDataFrame(edges, "source_id bigint, target_id bigint, a double, b double")
+    got = {x.paper_id: x for x in PR.standard_pageranks(n, e, {"a": "a", "b": "b", "one": None}, max_rounds=4, tolerance=None).collect()}
+    for k, name in ((2, "a"), (3, "b"), (None, "one")):
+        best = {}
+        for row in edges:
+            if row[1] != 99:
+                best[row[:2]] = max(best.get(row[:2], 0.0), 1.0 if k is None else row[k] or 0.0)
+        score = dict.fromkeys(nodes, 1 / 30)
+        for _ in range(4):
+            total = {s: sum(w for (x, _), w in best.items() if x == s) for s in nodes}
+            loose = sum(score[s] for s in nodes if total[s] == 0)
+            score = {t: 0.15 / 30 + 0.85 * (loose / 30 + sum(score[s] * w / total[s] for (s, x), w in best.items() if x == t and total[s])) for t in nodes}
+        assert all(abs(got[i][name] - score[i]) < 1e-12 for i in nodes), name

@@ -8,7 +8,7 @@ their buckets, and a sum goes to all of them, so that neither edges nor scores m
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +46,10 @@ def _adjacency(edges: DataFrame, ids: DataFrame, source: str, target: str, weigh
     return adjacency.join(known, adjacency["_s"] == known["_id"], "left_semi")
 
 
-def _parts(adjacency: DataFrame) -> DataFrame:
-    """Over how many salts each source's edges lie."""
-    return adjacency.groupBy(F.col("_s").alias("_id")).agg((F.max("_salt") + 1).alias("_parts"))
+def _parts(adjacency: DataFrame, names: Sequence[str] = ()) -> DataFrame:
+    """Over how many salts each source's edges lie, and in which of the named variants any of them has a weight."""
+    out = [F.max(F.col(v) > 0).alias(f"_out_{v}") for v in names]
+    return adjacency.groupBy(F.col("_s").alias("_id")).agg((F.max("_salt") + 1).alias("_parts"), *out)
 
 
 def _salted(ids: DataFrame) -> DataFrame:
@@ -168,38 +169,57 @@ def standard_pagerank(
     damping: float = C.DAMPING,
     max_rounds: int = 100,
     tolerance: float | None = 1e-6,
+) -> DataFrame:
+    """``standard_pageranks`` for one weight."""
+    return standard_pageranks(nodes, edges, {out: weight}, node_id, source, target, damping, max_rounds, tolerance)
+
+
+def standard_pageranks(
+    nodes: DataFrame,
+    edges: DataFrame,
+    weights: Mapping[str, str | None],
+    node_id: str = "paper_id",
+    source: str = "source_id",
+    target: str = "target_id",
+    damping: float = C.DAMPING,
+    max_rounds: int = 100,
+    tolerance: float | None = 1e-6,
 ) -> DataFrame:
     """Textbook PageRank: uniform start and teleport, stochastic rows, dangling mass spread over all nodes.
 
-    Edges with an end outside the nodes are left out; parallel edges collapse to one (the largest weight is kept). Stops
-    when the summed change is below ``tolerance`` times the node count. The dangling mass of a round is one number, read back from the written
-    scores together with the change.
+    One column per variant in ``weights``, all from one run; None weighs every edge by 1. Edges with an end outside the
+    nodes are left out; parallel edges collapse to one (the largest weight is kept). Stops when the summed change of every
+    variant is below ``tolerance`` times the node count. A node dangles in the variants in which its edges weigh nothing.
+    The dangling mass of a round is one number per variant, read back from the written scores together with the change.
     """
+    names = list(weights)
     ids = materialise(nodes.select(F.col(node_id).alias("_id")).distinct())
     count = ids.count()
     known = semi_both_ends(edges, ids, "_id", source, target)
-    single = known.groupBy(source, target).agg((F.max(weight) if weight else F.lit(1.0)).alias("_w"))
+    single = known.groupBy(source, target).agg(*[(F.max(w) if w else F.lit(1.0)).alias(v) for v, w in weights.items()])
     with bucketed_tables(nodes.sparkSession) as write:
-        every = materialise(_adjacency(single, ids, source, target, {"_w": "_w"}).where("_w > 0"))
-        parts = materialise(_parts(every))
+        every = materialise(_adjacency(single, ids, source, target, {v: v for v in names}).where(F.greatest(F.lit(0.0), *names) > 0))
+        parts = materialise(_parts(every, names))
         adjacency = write(_with_target_parts(every, parts), ["_s", "_salt"])
-        start = write(_salted(ids.join(parts, "_id", "left").fillna(0, ["_parts"])), ["_id", "_salt"])
+        known_parts = ids.join(parts, "_id", "left").fillna(0, ["_parts"]).fillna(False, [f"_out_{v}" for v in names])
+        start = write(_salted(known_parts), ["_id", "_salt"])
 
-        scores = start.withColumn("_score", F.lit(1.0 / count))
+        kept = ["_id", "_salt", "_parts", *[f"_out_{v}" for v in names]]
+        scores = start.select(*kept, *[F.lit(1.0 / max(1, count)).alias(v) for v in names])
         for _ in range(max_rounds):
-            loose = scores.agg(F.sum(F.when(F.col("_parts") == 0, F.col("_score")))).first()[0] or 0.0
-            sums = _passed(adjacency, scores, {"_p": F.col("_w") * F.col("_score")})
-            rest = (1.0 - damping) / count + damping * loose / count
+            idle = [F.sum(F.when(~F.col(f"_out_{v}"), F.col(v))).alias(v) for v in names]
+            loose = scores.where("_salt = 0").agg(*idle).first()
+            rest = {v: (1.0 - damping) / max(1, count) + damping * (loose[v] or 0.0) / max(1, count) for v in names}
+            sums = _passed(adjacency, scores.drop(*kept[2:]).withColumnsRenamed({v: f"_score_{v}" for v in names}), {f"_p_{v}": F.col(v) * F.col(f"_score_{v}") for v in names})
             stepped = scores.join(sums, (scores["_id"] == sums["_t"]) & (scores["_salt"] == sums["_tsalt"]), "left").select(
-                "_id",
-                scores["_salt"],
-                "_parts",
-                (F.lit(rest) + damping * F.coalesce("_p", F.lit(0.0))).alias("_score"),
-                F.col("_score").alias("_old"),
+                *[scores[c] for c in kept],
+                *[(F.lit(rest[v]) + damping * F.coalesce(f"_p_{v}", F.lit(0.0))).alias(v) for v in names],
+                *[F.col(v).alias(f"_old_{v}") for v in names],
             )
-            scores = materialise(stepped)
+            written = materialise(stepped)
+            scores = written.drop(*[f"_old_{v}" for v in names])
             if tolerance is not None:
-                change = scores.where("_salt = 0").agg(F.sum(F.abs(F.col("_score") - F.col("_old")))).first()[0]
-                if change < tolerance * count:
+                change = written.where("_salt = 0").agg(*[F.sum(F.abs(F.col(v) - F.col(f"_old_{v}"))).alias(v) for v in names]).first()
+                if all((change[v] or 0.0) < tolerance * max(1, count) for v in names):
                     break
-    return scores.where("_salt = 0").select(F.col("_id").alias(node_id), F.col("_score").alias(out))
+    return scores.where("_salt = 0").select(F.col("_id").alias(node_id), *names)

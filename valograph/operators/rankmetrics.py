@@ -148,8 +148,11 @@ def compare_rankings(df: DataFrame, id_col: str, methods: Mapping[str, str], ref
 
 def validate_rankings(df: DataFrame, id_col: str, methods: Mapping[str, str], truth: str, k: int = 10) -> DataFrame:
     """Per method: Spearman, Kendall, NDCG, precision and overlap of the top k against later outcomes."""
-    long = melt_methods(df, id_col, methods, truth)
-    by = ["method"]
+    return validate_melted(melt_methods(df, id_col, methods, truth), id_col, ["method"], k)
+
+
+def validate_melted(long: DataFrame, id_col: str, by: Sequence[str], k: int = 10) -> DataFrame:
+    """``validate_rankings`` for rows that already hold ``score`` and ``reference`` per group ``by``."""
     out = spearman(long, "score", "reference", by)
     out = out.join(kendall(long, "score", "reference", by), by)
     out = out.join(ndcg(long, "score", "reference", id_col, k, by), by)

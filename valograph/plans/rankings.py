@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from valograph import constants as C
 from valograph.operators.graph import degrees
-from valograph.operators.pagerank import weighted_pagerank
-from valograph.operators.rankmetrics import compare_rankings, validate_rankings
+from valograph.operators.pagerank import standard_pageranks, weighted_pagerank
+from valograph.operators.rankmetrics import compare_rankings, melt_methods, validate_melted, validate_rankings
 from valograph.operators.ranking import exact_quantiles, with_rank, with_ranks
 from valograph.operators.relational import semi_both_ends, top_per_key, with_scalars
 from valograph.session import materialise
@@ -80,15 +81,67 @@ def validate_future(
     ``truth(paper_id, future_citations)``. Only edges with both ends up to the cutoff are used. With ``zero_fill``
     a core paper without later citations counts with 0, else it is left out.
     """
-    early = papers.where(F.col("year") <= cutoff_year)
-    history = semi_both_ends(edges, early, "paper_id", "source_id", "target_id")
-    scores = score_models(early, history, models, max_rounds, tolerance, digits)
+    table = future_table(papers, edges, truth, cutoff_year, models, max_rounds, tolerance, digits, zero_fill)
+    core = materialise(table.where("is_core"))
+    return validate_rankings(core, "paper_id", _future_methods(models), "future_citations", k)
+
+
+def _future_methods(models: Mapping[str, str | None]) -> dict[str, str]:
+    return {"citation_count": "citation_count", **{m: m for m in models}}
+
+
+def future_table(
+    papers: DataFrame,
+    edges: DataFrame,
+    truth: DataFrame,
+    cutoff_year: int,
+    models: Mapping[str, str | None] = MODELS,
+    max_rounds: int = C.MAX_ROUNDS,
+    tolerance: float | None = C.TOLERANCE,
+    digits: int | None = None,
+    zero_fill: bool = True,
+    standard: bool = False,
+) -> DataFrame:
+    """Papers up to the cutoff with ``is_core``, a score per model, ``citation_count`` and ``future_citations``.
+
+    ``standard`` scores by textbook PageRank, as multiples of the mean score, in place of the weighted one with own base.
+    """
+    early = materialise(papers.where(F.col("year") <= cutoff_year).select("paper_id", "base_value", "is_core"))
+    history = materialise(semi_both_ends(edges, early, "paper_id", "source_id", "target_id"))
+    if standard:
+        scores = standard_pageranks(early, history, models, max_rounds=max_rounds, tolerance=tolerance)
+        size = early.count()
+        scaled = {m: F.col(m) * size for m in models}
+        scores = scores.withColumns({m: s if digits is None else F.round(s, digits) for m, s in scaled.items()})
+    else:
+        scores = score_models(early, history, models, max_rounds, tolerance, digits)
     counts = history.groupBy(F.col("target_id").alias("paper_id")).agg(F.count(F.lit(1)).cast("double").alias("citation_count"))
-    core = early.where("is_core").select("paper_id").join(scores, "paper_id").join(counts, "paper_id", "left")
-    joined = core.join(truth.select("paper_id", "future_citations"), "paper_id", "left" if zero_fill else "inner")
-    table = materialise(joined.fillna(0, ["citation_count", "future_citations"]))
-    methods = {"citation_count": "citation_count", **{m: m for m in models}}
-    return validate_rankings(table, "paper_id", methods, "future_citations", k)
+    own = early.select("paper_id", "is_core").join(scores, "paper_id").join(counts, "paper_id", "left")
+    joined = own.join(truth.select("paper_id", "future_citations"), "paper_id", "left" if zero_fill else "inner")
+    return joined.fillna(0, ["citation_count", "future_citations"])
+
+
+def validate_cutoffs(
+    papers: DataFrame,
+    edges: DataFrame,
+    truths: Mapping[int, DataFrame],
+    models: Mapping[str, str | None],
+    k: int = 10,
+    max_rounds: int = 100,
+    tolerance: float | None = 1e-6,
+    digits: int | None = None,
+) -> DataFrame:
+    """``validate_future`` by textbook PageRank for every cutoff year in ``truths``, over core papers and over all.
+
+    One run of all models per cutoff serves both targets.
+    """
+    parts = []
+    for cutoff, truth in truths.items():
+        table = materialise(future_table(papers, edges, truth, cutoff, models, max_rounds, tolerance, digits, standard=True))
+        for target, rows in {"all": table, "core": table.where("is_core")}.items():
+            long = melt_methods(rows, "paper_id", _future_methods(models), "future_citations")
+            parts.append(long.select(F.lit(cutoff).alias("cutoff"), F.lit(target).alias("target"), "*"))
+    return validate_melted(materialise(reduce(DataFrame.unionByName, parts)), "paper_id", ["cutoff", "target", "method"], k)
 
 
 def penalty_effect(scores: DataFrame, edges: DataFrame, before: str, after: str) -> DataFrame:

@@ -368,6 +368,65 @@ def future_validation(spark, d):
     return _rounded(P.validate_future(papers, e, truth, M.CUTOFF, models, 10, tolerance=M.SETTLED, digits=DIGITS))
 
 
+_CUTOFFS, _LATER, _ETA = (M.CUTOFF, M.CUTOFF - 1), 4, 0.5  # cutoff years, years of later citations, penalty strength
+_HALF_SQL = {**WEIGHT_SQL, "full": f"q_ij * tau * (1.0 / (1.0 + {_ETA}::DOUBLE * shared))"}
+
+
+def _cutoff_ctes(cutoff: int) -> dict[str, str]:
+    """SQL tables of one cutoff: its papers, edges, textbook PageRank as far as 1e-6 a paper, and the scores next to the outcome."""
+    each = lambda text, sep=", ": sep.join(text.format(v=f'"{v}"', o=f'"o_{v}"', g=f'"g_{v}"', d=f'"d_{v}"', z=f'"z_{v}"', w=_HALF_SQL[v] or "1.0") for v in _FUTURE)
+    h, w, st, nn, sp = (f"{n}{cutoff}" for n in ("h", "w", "st", "nn", "sp"))
+    inside = f"source_id IN (SELECT paper_id FROM {h}) AND target_id IN (SELECT paper_id FROM {h})"
+    share = "CASE WHEN sum({v}) OVER (PARTITION BY s) > 0 THEN {v} / sum({v}) OVER (PARTITION BY s) ELSE 0.0 END AS {v}"
+    return {
+        h: f"SELECT * FROM papers WHERE year <= {cutoff}",
+        w: f"SELECT * FROM wedges WHERE {inside}",
+        st: f"SELECT s, t, {each(share)} FROM (SELECT source_id AS s, target_id AS t, {each('max({w})::DOUBLE AS {v}')} FROM {w} GROUP BY ALL)",
+        nn: f"SELECT paper_id, (SELECT count(*) FROM {h})::DOUBLE AS n, {each('coalesce(x.{v}, 0.0) <= 0 AS {z}')} FROM {h} LEFT JOIN (SELECT s, {each('sum({v}) AS {v}')} FROM {st} GROUP BY s) x ON x.s = paper_id",
+        sp: f"""SELECT 0 AS i, paper_id, {each('1.0::DOUBLE / n AS {v}')}, n AS moved, n FROM {nn}
+          UNION ALL SELECT i + 1, paper_id, {each('{v}')}, greatest({each('sum(abs({v} - {o})) OVER ()')}), n FROM (
+            SELECT i, paper_id, {each('0.15::DOUBLE / any_value(n) + 0.85::DOUBLE * (sum({g}) + any_value({d}) / any_value(n)) AS {v}')}, {each('any_value({o}) AS {o}')}, any_value(n) AS n FROM (
+              SELECT r.i, r.moved, r.n AS size, k.paper_id, k.n, {each('r.{v} AS {o}')}, {each('0.0::DOUBLE AS {g}')}, {each('sum(CASE WHEN k.{z} THEN r.{v} ELSE 0.0 END) OVER (PARTITION BY r.i) AS {d}')} FROM {sp} r JOIN {nn} k USING (paper_id)
+              UNION ALL SELECT r.i, r.moved, r.n, e.t, NULL, {each('NULL')}, {each('r.{v} * e.{v}')}, {each('NULL')} FROM {sp} r JOIN {st} e ON r.paper_id = e.s)
+            WHERE i < 100 AND moved >= 1e-6 * size GROUP BY i, paper_id)""",
+        f"f{cutoff}": f"""SELECT paper_id, is_core, {each(f'round({{v}} * n, {DIGITS}) AS {{v}}')}, coalesce(c.k, 0) AS citation_count, coalesce(f.k, 0) AS future FROM {sp} JOIN {h} USING (paper_id)
+          LEFT JOIN (SELECT target_id, count(*) AS k FROM {w} GROUP BY ALL) c ON c.target_id = paper_id
+          LEFT JOIN (SELECT target_id, count(*) AS k FROM edges JOIN papers ON paper_id = source_id WHERE year BETWEEN {cutoff + 1} AND {cutoff + _LATER} GROUP BY ALL) f ON f.target_id = paper_id
+          WHERE i = (SELECT max(i) FROM {sp})""",
+    }
+
+
+def _cutoffs_sql():
+    _, ctes = _compare_sql({}, "future", "f")
+    ctes["melted"] = " UNION ALL ".join(
+        f"""SELECT '{c}/{target}/{m}' AS method, paper_id, "{m}"::DOUBLE AS score, future::DOUBLE AS reference FROM f{c} WHERE {keep}"""
+        for c in _CUTOFFS for target, keep in (("all", "true"), ("core", "is_core")) for m in ("citation_count", *_FUTURE)
+    )
+    body = """SELECT CAST(split_part(r.method, '/', 1) AS INTEGER) AS cutoff, split_part(r.method, '/', 2) AS target, split_part(r.method, '/', 3) AS method,
+        round(corr(a, b), 6) AS spearman, round(any_value(kendall), 6) AS kendall,
+        round(sum(CASE WHEN pa <= 10 THEN reference / log2(pa + 1) ELSE 0.0 END) / sum(CASE WHEN pb <= 10 THEN reference / log2(pb + 1) ELSE 0.0 END), 6) AS ndcg,
+        count(*) FILTER (WHERE pa <= 10 AND pb <= 10) AS overlap, round(count(*) FILTER (WHERE pa <= 10 AND pb <= 10) / 10.0, 6) AS precision
+      FROM ranked r JOIN tau USING (method) GROUP BY r.method"""
+    tables = {}
+    for c in _CUTOFFS:
+        tables.update(_cutoff_ctes(c))
+    return sql(body, **tables, **ctes)
+
+
+@query("future_validation_cutoffs", _cutoffs_sql())
+def future_validation_cutoffs(spark, d):
+    """Textbook PageRank, to its usual 1e-6 a paper, under two cutoff years, the penalty at half strength, over core papers and over all."""
+    papers, e = M.papers(spark, d), M.weighted_edges(spark, d)
+    e = e.withColumn("w_full", F.col("q_ij") * F.col("tau") * S.relation_penalty("shared", eta_author=_ETA))
+    years = papers.select(F.col("paper_id").alias("source_id"), F.col("year").alias("_year"))
+    cited = M.edges(spark, d).join(years, "source_id").select(F.col("target_id").alias("paper_id"), "_year")
+    truths = {
+        c: cited.where(F.col("_year").between(c + 1, c + _LATER)).groupBy("paper_id").agg(F.count(F.lit(1)).cast("double").alias("future_citations"))
+        for c in _CUTOFFS
+    }
+    return _rounded(P.validate_cutoffs(papers, e, truths, {n: P.MODELS[n] for n in _FUTURE}, digits=DIGITS))
+
+
 @query("penalty_effect", sql("""SELECT paper_id, rb AS rank_before, ra AS rank_after, ra - rb AS rank_change, round("full" - semantic_temporal, 6) AS score_change,
   coalesce(n, 0) AS self_citation_edges, round(coalesce(m, 0.0), 6) AS avg_shared_authors FROM (
     SELECT *, rank() OVER (ORDER BY semantic_temporal DESC) AS rb, rank() OVER (ORDER BY "full" DESC) AS ra FROM sc)
