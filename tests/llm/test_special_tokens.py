@@ -23,6 +23,12 @@ def test_ids_equal_those_of_an_unmodified_tokenizer(path, spaced, monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [unmodified(path, t) for t in texts]
 
 
+def test_capitals_before_combining_marks_are_composed_first():
+    texts = ["H\u0331", "T\u0308 t\u0308", "xW\u030a A", "Y\u030a\u0301 Y", "J\u030c <|endoftext|>J\u030c", "T\u0344", "T\u0321\u0308", "E\u0301 PLAIN"]
+    found = Encoder(WORDS, False, special=True).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [unmodified(WORDS, t) for t in texts]
+
+
 def test_queries_give_special_tokens_their_ids(spark, tmp_path):
     rows = list(enumerate(HELD + ["plain text"]))
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
