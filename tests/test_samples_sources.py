@@ -144,3 +144,14 @@ def test_stream_scores_only_new_edges(spark, tmp_path):
         stream_scores(spark, src, schema, out, cp, score).awaitTermination()
     got = spark.read.parquet(out)
     assert sorted(r["edge_id"] for r in got.collect()) == ["a", "b"]
+
+
+def test_papers_that_share_an_id_are_bound_by_their_own_titles(spark):
+    from valograph.sources.readers import bind_files
+
+    files = spark.createDataFrame([("red_widget.pdf",), ("big_blue_lamp_v2.pdf",), ("green_box.pdf",), ("F_W000007.pdf",)], "file_name string")
+    rows = [("W1", "red widget"), ("W1", "blue lamp"), ("W1", "unknown thing"), (None, "green box"), ("W000007", "a"), ("W000007", "red widget")]
+    got = bind_files(files, spark.createDataFrame(rows, "paper_id string, title string"), r"(W\d{6,})").collect()
+    want = {("W1", "red widget"): ("red_widget.pdf", 2), ("W1", "blue lamp"): ("big_blue_lamp_v2.pdf", 3), ("W1", "unknown thing"): (None, None), (None, "green box"): ("green_box.pdf", 2)}
+    want |= {("W000007", "a"): ("F_W000007.pdf", 1), ("W000007", "red widget"): ("F_W000007.pdf", 1)}
+    assert len(got) == len(rows) and {(x.paper_id, x.title): (x.file_name, x.step) for x in got} == want
