@@ -149,3 +149,28 @@ def test_scalars(spark):
     assert [tuple(r) for r in sec.select(S.section_label("s"), S.section_label("s", True), S.section_weight("s")).collect()] == [
         ("Introduction", "Other", 0.2), ("Methodology", "Methodology", 1.0), ("Other", "Other", 0.2), ("Other", "Other", 0.2), ("Conclusion", "Conclusion", 0.5),
     ]
+
+
+def test_entries_by_bound_give_the_first_best_entry_with_few_comparisons(monkeypatch):
+    import random
+
+    from valograph.operators import alignment as A
+
+    r = random.Random(4)
+    calls, whole = [], A._judge
+    monkeypatch.setattr(A, "_judge", lambda *a: calls.append(1) or whole(*a))
+    words = [f"{a}{b}" for a in ("stone", "river", "lamp", "cloud") for b in ("s", "ing", "ly", "er")]
+    line = lambda: " ".join(r.choice(words) for _ in range(9))
+    spent = {"order": 0, "bound": 0}
+    for k in range(150):
+        texts = [f"{line()}. {1990 + i}." for i in range(30)] + ["", "!!"]
+        texts += texts[:4]
+        title = A._plain("" if k == 7 else line() if k % 3 == 0 else texts[k % 30][2:] if k % 3 == 1 else texts[k % 30].replace("e", "", 2))
+        for author in ("", "stones"):
+            del calls[:]
+            want = A._in_order(texts, title, "", 1995, author)
+            spent["order"] += len(calls)
+            del calls[:]
+            assert A._by_bound(texts, title, 1995, author) == want
+            spent["bound"] += len(calls)
+    assert spent["bound"] < spent["order"] / 4
