@@ -36,6 +36,16 @@ def test_reference_parsing(spark):
     assert row["b"] == "a\nreferences x" and row["r"] == "\nbibliography y"
 
 
+@pytest.mark.parametrize("form", ["[{}] ", "{}. "])
+def test_reference_lists_past_999(spark, form):
+    lines = [form.format(k) + f"Paper {k}" for k in range(1, 1203)]
+    lines.insert(1100, form.format(2004) + "is a year, not entry 2004")
+    found = entries(spark, "x\nReferences\n" + "\n".join(lines))
+    assert [n for _, n, _ in found] == list(range(1, 1203)) and found[1001][2] == "Paper 1002"
+    assert found[1099][2] == "Paper 1100 " + form.format(2004) + "is a year, not entry 2004"
+    assert [n for _, n, _ in entries(spark, "x\nReferences\n" + "\n".join(form.format(k) + "T" for k in (1, 2, 2001, 3)))] == [1, 2, 3]
+
+
 def mentions(spark, body, number):
     df = one(spark, "b string, n int", body, number).withColumn("s", T.sentences("b")).withColumn("i", T.mention_index("s"))
     return [(m["window"], m["kind"]) for m in T.with_mentions(df, "i", "n", "m").first()["m"]]

@@ -131,17 +131,45 @@ def reference_text(text: Column | str) -> Column:
     return F.when(at > 0, F.substring(_col(text), at, F.length(_col(text)))).otherwise(F.lit(""))
 
 
-def _numbered(refs: Column, pattern: str, marker: str) -> Column:
-    full = f"(?msdU){pattern}"
-    numbers = F.regexp_extract_all(refs, F.lit(full), F.lit(1))
-    texts = F.regexp_extract_all(refs, F.lit(full), F.lit(2))
-    return F.zip_with(
+def _pieces(refs: str, numbers: str, pattern: str) -> Column:
+    """Number ``n`` and text ``t`` of what may be entries, and as ``whole`` both, where a number passes 999."""
+    found = lambda group: F.regexp_extract_all(refs, F.lit(f"(?msdU){pattern}"), F.lit(group))
+    wholes = F.when(F.exists(numbers, lambda n: F.length(n) > 3), found(0)).otherwise(F.array().cast("array<string>"))
+    pairs = F.zip_with(numbers, found(2), lambda n, t: F.struct(n.alias("n"), t.alias("t")))
+    return F.zip_with(pairs, wholes, lambda p, w: F.struct(p["n"].alias("n"), p["t"].alias("t"), w.alias("whole")))
+
+
+def _begun(pieces: str) -> Column:
+    """The places at which entries begin, where a number passes 999; else null, as each piece is an entry.
+
+    A number of four digits or more begins an entry only if it follows on the entry before; else, as a year at the start of
+    a line, it belongs to that entry's text.
+    """
+    numbers = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), (F.length(p["n"]) <= 3).alias("short"), p["n"].try_cast("int").alias("n")))
+    begun = F.aggregate(
         numbers,
-        texts,
-        lambda n, t: F.struct(
-            F.format_string(marker, n.try_cast("int")).alias("marker"),
-            n.try_cast("int").alias("number"),
-            squeeze(t).alias("entry"),
+        F.struct(F.lit(-2).alias("last"), F.array().cast("array<int>").alias("at")),
+        lambda a, e: F.when(
+            e["short"] | (e["n"] == a["last"] + 1), F.struct(e["n"].alias("last"), F.array_append(a["at"], e["i"]).alias("at"))
+        ).otherwise(a),
+        lambda a: a["at"],
+    )
+    return F.when(F.exists(pieces, lambda p: p["whole"].isNotNull()), begun)
+
+
+def _numbered(pieces: str, begun: str, marker: str) -> Column:
+    def joined(i: Column, k: Column) -> Column:
+        first, after = F.get(pieces, i), F.coalesce(F.get(begun, k + 1), F.size(pieces))
+        rest = F.transform(F.slice(pieces, i + 2, after - i - 1), lambda p: p["whole"])
+        return F.struct(first["n"].alias("n"), F.concat(first["t"], F.array_join(rest, "")).alias("t"))
+
+    plain = F.transform(pieces, lambda p: F.struct(p["n"].alias("n"), p["t"].alias("t")))
+    return F.transform(
+        F.when(F.col(begun).isNull(), plain).otherwise(F.transform(begun, joined)),
+        lambda e: F.struct(
+            F.format_string(marker, e["n"].try_cast("int")).alias("marker"),
+            e["n"].try_cast("int").alias("number"),
+            squeeze(e["t"]).alias("entry"),
         ),
     )
 
@@ -149,18 +177,21 @@ def _numbered(refs: Column, pattern: str, marker: str) -> Column:
 def with_reference_entries(df: DataFrame, refs: str, out: str, minimum: int = 3) -> DataFrame:
     """Add the entries ``(marker, number, entry)`` of a numbered list: ``[n]`` style, else ``n.`` style.
 
-    A style counts only with at least ``minimum`` hits; empty entries are left out. The two parses are columns of
-    their own, so each runs once per row.
+    A style counts only with at least ``minimum`` hits; empty entries are left out. Lists may be longer than 999 entries.
+    The steps of the two parses are columns of their own, so each runs once per row.
     """
-    staged = df.withColumns(
-        {"_bracketed": _numbered(F.col(refs), C.BRACKET_ENTRY, "[%d]"), "_dotted": _numbered(F.col(refs), C.DOTTED_ENTRY, "%d")}
-    )
+    styles = {"_bracketed": (C.BRACKET_ENTRY, "[%d]"), "_dotted": (C.DOTTED_ENTRY, "%d")}
+    staged = df.withColumns({f"{s}_n": F.regexp_extract_all(refs, F.lit(f"(?msdU){p}"), F.lit(1)) for s, (p, _) in styles.items()})
+    staged = staged.withColumns({f"{s}_p": _pieces(refs, f"{s}_n", p) for s, (p, _) in styles.items()})
+    staged = staged.withColumns({f"{s}_b": _begun(f"{s}_p") for s in styles})
+    staged = staged.withColumns({s: _numbered(f"{s}_p", f"{s}_b", m) for s, (_, m) in styles.items()})
     chosen = (
         F.when(F.size("_bracketed") >= minimum, F.col("_bracketed"))
         .when(F.size("_dotted") >= minimum, F.col("_dotted"))
         .otherwise(F.slice("_dotted", 1, 0))
     )
-    return staged.withColumn(out, F.filter(chosen, lambda e: e["entry"] != "")).drop("_bracketed", "_dotted")
+    entries = staged.withColumn(out, F.filter(chosen, lambda e: e["entry"] != ""))
+    return entries.drop(*[s + step for s in styles for step in ("", "_n", "_p", "_b")])
 
 
 def author_year_entries(refs: Column | str, minimum_length: int = 40) -> Column:
