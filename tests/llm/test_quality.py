@@ -68,3 +68,12 @@ def test_nothing_is_rejected_without_evidence_and_empty_tables_pass(spark):
     assert sorted((x.doc_id or 0, x.kept) for x in quality.judged(docs, none).collect()) == [(0, False), (1, False), (2, True), (2, True)]
     assert quality.judged(spark.createDataFrame([], DOCS), none).count() == 0
     assert "kept" in quality.judged(docs.drop("lang"), none).columns
+
+
+def test_all_labels_count(spark):
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, prose(r, i % 6 == 0), "en") for i in range(1500)], DOCS)
+    own = spark.createDataFrame([(i, int(i % 6 != 0), 0) for i in range(1500)], LABELS)
+    others = spark.range(10_000, 310_000).selectExpr("id doc_id", "1 quality", "0 toxic")  # of documents that are not there
+    got = {x.doc_id: x.kept for x in quality.judged(docs, own.unionByName(others)).collect()}
+    assert not any(got[i] for i in range(0, 1500, 6)) and all(got[i] for i in range(1500) if i % 6)
