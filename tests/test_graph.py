@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from valograph.operators import pagerank as PR
 from valograph.operators.components import weak_components
 from valograph.operators.graph import build_typed_graph, degrees, normalise_out_weights
+from valograph.operators import membership
 from valograph.operators.membership import shared_members, team_links
 
 
@@ -120,6 +121,24 @@ def test_shared_and_team(spark, heavy):
         assert team[(s, t)] == max(0, pairs - common)
 
 
+def test_links_are_counted_without_a_row_per_pair(spark, monkeypatch):
+    monkeypatch.setattr(membership, "CHUNK", 8)
+    monkeypatch.setattr(membership, "PROBES_PER_PART", 2)
+    rng = random.Random(6)
+    member = {f"p{k}": {f"a{rng.randrange(60)}" for _ in range(40)} for k in range(8)}
+    linked = {(f"a{rng.randrange(60)}", f"a{rng.randrange(60)}") for _ in range(300)}
+    pairs = [(f"p{i}", f"p{j}") for i in range(8) for j in range(8) if (i + j) % 3]
+    m = spark.createDataFrame([(k, a) for k, own in member.items() for a in own], "_k string, _m string")
+    sizes = m.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    links = spark.createDataFrame(list(linked), "_a string, _b string")
+    rows = membership._looked_up(spark.createDataFrame(pairs, "_s string, _t string"), m, sizes, links).collect()
+    got = {}
+    for r in rows:
+        got[r["_s"], r["_t"]] = got.get((r["_s"], r["_t"]), 0) + r["_links"]
+    true = {(s, t): sum((a, b) in linked for a in member[s] for b in member[t]) for s, t in pairs}
+    assert got == {e: n for e, n in true.items() if n} and len(rows) < sum(true.values())
+
+
 def test_typed_graph(spark):
     auth = spark.createDataFrame(
         [("http://x/W1", "A1", "I1| I2"), ("W1", "A2", "None"), ("W2", None, "I3"), ("W2", "A1", "I1")], "paper_id string, author_id string, institution_ids string"
