@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from valograph.operators import pagerank as PR
+from valograph.operators.blocks import Blocks
 from valograph.operators.components import weak_components
 from valograph.operators.graph import build_typed_graph, degrees, normalise_out_weights
 from valograph.operators import membership
@@ -121,6 +122,27 @@ def test_shared_and_team(spark, heavy):
         assert team[(s, t)] == max(0, pairs - common)
 
 
+@pytest.mark.parametrize("listed", [64, 3, 0])
+def test_shared_members_by_arrays_and_by_probes(spark, monkeypatch, listed):
+    monkeypatch.setattr(membership, "LISTED", listed)
+    rng = random.Random(9)
+    member = {p: {rng.randrange(14) for _ in range(rng.choice([0, 2, 3, 9]))} for p in range(12)}
+    edges = [(rng.randrange(12), rng.randrange(13)) for _ in range(60)] + [(None, 3), (3, None)]
+    m = spark.createDataFrame([(p, a) for p, s in member.items() for a in [*s, *s]] + [(None, 1), (1, None)], "p long, a long")
+    years = spark.createDataFrame([(p, 2000 + p) for p in range(5)], "p long, year long")
+    found = shared_members(spark.createDataFrame(edges, "s long, t long"), m, "s", "t", "p", "a", "n", facts=years)
+    if listed == 64:  # members do not reach the edges as rows: a join for each end is all
+        assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 2
+    year = {p: 2000 + p for p in range(5)}
+    wanted = [(s, t, len(member.get(s, set()) & member.get(t, set())), year.get(s), year.get(t)) for s, t in edges]
+    assert sorted(map(str, ((r.s, r.t, r.n, r.source_year, r.target_year) for r in found.collect()))) == sorted(map(str, wanted))
+
+
+def test_a_small_graph_has_few_blocks(spark):
+    nodes, edges = spark.range(10).toDF("_num"), spark.createDataFrame([(i, (i + 1) % 10, 1.0) for i in range(10)], "_source long, _target long, w double")
+    assert Blocks(nodes, edges, [], ["w"]).parts == 1
+
+
 def test_links_are_counted_without_a_row_per_pair(spark, monkeypatch):
     monkeypatch.setattr(membership, "CHUNK", 8)
     monkeypatch.setattr(membership, "PROBES_PER_PART", 2)
