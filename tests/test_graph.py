@@ -143,6 +143,14 @@ def test_a_small_graph_has_few_blocks(spark):
     assert Blocks(nodes, edges, [], ["w"]).parts == 1
 
 
+def test_many_blocks_give_the_scores_of_one(graph, monkeypatch):
+    *_, n, e = graph
+    run = lambda: {r["paper_id"]: r["x"] for r in PR.weighted_pagerank(n, e, {"x": "w"}, max_rounds=3, tolerance=None).collect()}
+    one = run()
+    monkeypatch.setattr("valograph.operators.blocks.LEAST_EDGES", 1)
+    assert run() == pytest.approx(one)
+
+
 def test_links_are_counted_without_a_row_per_pair(spark, monkeypatch):
     monkeypatch.setattr(membership, "CHUNK", 8)
     monkeypatch.setattr(membership, "PROBES_PER_PART", 2)
