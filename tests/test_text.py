@@ -68,6 +68,11 @@ def test_expand_range(spark):
     assert {r["t"]: r["x"] for r in df.collect()} == tokens
 
 
+def test_ends_of_a_range_are_read_once(spark):
+    plan = spark.createDataFrame([("3-5",)], "t string").select(T.expand_range(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 2
+
+
 def test_author_year_mentions(spark):
     body = "Intro words. Smith (2001) did it. After that. Other (Jones and Smith, 2001) too. Smith wrote 1999."
     df = one(spark, "b string, a string, y int", body, "John Smith", 2001).withColumn("s", T.sentences("b")).withColumn("name", T.surname("a"))

@@ -214,16 +214,21 @@ def sentences(text: Column | str) -> Column:
 
 
 def expand_range(token: Column, widest: int = 20) -> Column:
-    """Numbers a citation token stands for: ``7`` is 7, ``3-5`` is 3, 4, 5; anything else nothing."""
+    """Numbers a citation token stands for: ``7`` is 7, ``3-5`` is 3, 4, 5; anything else nothing.
+
+    Most tokens are one number and are told first; both ends of a range are read once.
+    """
     t = F.translate(F.trim(token), "–—", "--")
     low = F.regexp_extract(t, r"^\s*(\d{1,9})\s*-", 1).try_cast("int")
     high = F.regexp_extract(t, r"^\s*\d{1,9}\s*-\s*(\d{1,9})\s*$", 1).try_cast("int")
-    span = (low <= high) & (high - low <= widest)
-    return (
-        F.when(F.coalesce(span, F.lit(False)), F.sequence(low, F.least(high, low + widest)))
-        .when(t.rlike(r"^\d{1,9}$"), F.array(t.try_cast("int")))
-        .otherwise(F.array().cast("array<int>"))
-    )
+    none = F.array().cast("array<int>")
+
+    def spanned(e: Column) -> Column:
+        span = (e["low"] <= e["high"]) & (e["high"] - e["low"] <= widest)
+        return F.when(F.coalesce(span, F.lit(False)), F.sequence(e["low"], F.least(e["high"], e["low"] + widest))).otherwise(none)
+
+    ranged = F.flatten(F.transform(F.array(F.struct(low.alias("low"), high.alias("high"))), spanned))
+    return F.when(t.rlike(r"^\d{1,9}$"), F.array(t.try_cast("int"))).when(t.contains("-"), ranged).otherwise(none)
 
 
 def bracket_numbers(inside: Column) -> Column:
