@@ -212,3 +212,21 @@ def test_rounds_of_a_batch_run_as_stages_of_one_job_and_settle_early(spark, monk
     plain = house(nodes, edges, True, 400)
     assert all(abs(got[v] - plain[v]) < 1e-11 for v in plain)
     assert sum(made) <= 90 and min(made) == 10  # plain rounds take about 170
+
+
+def test_rounds_leave_no_files_behind(spark):
+    """Once the scores are written, shuffle files, states and tables of the rounds are gone; the scores stay readable."""
+    import os
+
+    from valograph.session import ensure_checkpoint_dir, shared_folder
+
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    tables = os.path.dirname(shared_folder(spark, "x")).removeprefix("file:")
+    count = lambda at: sum(len(files) for _, _, files in os.walk(at)) if os.path.isdir(at) else 0
+    nodes = spark.range(200).selectExpr("id paper_id", "id / 200.0 base_value")
+    edges = spark.range(2000).selectExpr("id % 200 source_id", "(id * 7 + id % 13) % 200 target_id", "1.0 + id % 3 w")
+    before, known = count(folder) - count(tables), set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    scores = PR.weighted_pagerank(nodes, edges, {"full": "w", "plain": None}, max_rounds=40)
+    assert count(folder) - count(tables) <= before
+    assert len(set(os.listdir(tables)) - known) == 1
+    assert scores.count() == 200
