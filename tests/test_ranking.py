@@ -106,3 +106,25 @@ def test_large_integers_and_one_common_value_rank_exactly(spark):
     common = [(i, 3 if i % 10 else i) for i in range(500)]
     got = {r.id: r.p for r in with_row_number(spark.createDataFrame(common, "id long, v long"), "v", "id", "p").collect()}
     assert [i for i, _ in sorted(common, key=lambda x: (-x[1], x[0]))] == sorted(got, key=got.get)
+
+
+def test_kendall_over_many_ranges_matches_all_pairs(spark):
+    """Ranges of a few rows, values that fill more than one range, and several groups; no row is expanded per bit."""
+    r = random.Random(12)
+    rows = [(g, float(r.randrange(n)), float(r.choice([0, 0, r.randrange(n)]))) for g, n in (("a", 5), ("b", 60), ("c", 1)) for _ in range(90)]
+    rows += [("a", None, 1.0), ("b", 2.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+
+    def brute(some):
+        sign = lambda v: (v > 0) - (v < 0)
+        pairs = [(sign(a[1] - b[1]), sign(a[2] - b[2])) for i, a in enumerate(some) for b in some[:i]]
+        scale = (sum(p != 0 for p, _ in pairs) * sum(q != 0 for _, q in pairs)) ** 0.5
+        return sum(p * q for p, q in pairs) / scale if scale else None
+
+    for size in (7, 40, 100_000):
+        got = {x.g: x.kendall for x in kendall(df, "x", "y", ["g"], rows_per_range=size).collect()}
+        for g in "abc":
+            wanted = brute([x for x in rows if x[0] == g and None not in x])
+            assert got[g] == wanted if wanted is None else abs(got[g] - wanted) < 1e-12
+    whole = kendall(df, "x", "y", rows_per_range=20).first().kendall
+    assert abs(whole - brute([x for x in rows if None not in x])) < 1e-12
