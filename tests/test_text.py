@@ -189,3 +189,51 @@ def test_entries_by_bound_give_the_first_best_entry_with_few_comparisons(monkeyp
             assert A._by_bound(texts, title, 1995, author) == want
             spent["bound"] += len(calls)
     assert spent["bound"] < spent["order"] / 4
+
+
+def test_sequence_ratio_is_that_of_the_standard_library():
+    """Also where letters are so common that the library begins no block with them, and without its tables of positions."""
+    import random
+    from difflib import SequenceMatcher
+
+    from valograph.functions import text
+
+    r = random.Random(5)
+    for k in range(600):
+        letters = r.choice(["ab", "abc ", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz "])
+        a, b = ("".join(r.choice(letters) for _ in range(r.randrange(0, r.choice([5, 40, 300])))) for _ in range(2))
+        b = b + a[r.randrange(len(a) + 1) :][: r.randrange(60)] + b[: k % 30]
+        assert text._ratio(a, b) == (SequenceMatcher(None, a, b).ratio() if a and b else 0.0)
+        assert not (a and b) or text._matched(a, b) == sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def test_rescue_entry_is_the_best_of_all_without_scoring_all(monkeypatch):
+    import random
+
+    from valograph.operators import alignment as A
+
+    r = random.Random(9)
+    words = ["graph", "citation", "rank", "value", "price", "model", "node", "Time:", "self-cite", "weights", "of", "the", "été"]
+    scored = []
+    monkeypatch.setattr(A, "_fuzzy_score", lambda *x, own=A._fuzzy_score: scored.append(x) or own(*x))
+    total = 0
+    for k in range(200):
+        texts = [f"[{i}] Author{i}, A. {1990 + i}. " + " ".join(r.choice(words) for _ in range(r.randrange(0, 14))) for i in range(r.randrange(12))]
+        title = " ".join(r.choice(words) for _ in range(r.randrange(0, 9))) if k % 4 or not texts else r.choice(texts)[4:].title()
+        year, author = r.choice([None, 1990, 1995]), r.choice([None, "Author3", "Nobody"])
+        best = (None, "", 0.0)
+        for i, text in enumerate(texts):
+            score, method = A.title_score(title, text)
+            name = A._fold(author).split()
+            lead = A.re.match(r"\s*([A-Z][a-zA-Z'`-]+)", text)
+            who = name[-1] if name else (A._fold(lead.group(1)) if lead else "")
+            if year is not None and str(year) in text and who in A._fold(text):
+                score = max(score, min(0.91, score + 0.08))
+            if score > best[2]:
+                best = (i + 1, method, score)
+        total += len(scored)
+        scored.clear()
+        assert A.rescue_entry(texts, title, year, author) == best
+        total -= 2 * len(scored)
+        scored.clear()
+    assert total > 0  # fewer than half of all entries were scored
